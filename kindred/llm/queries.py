@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import decontaminate, language_id, line_dedup, ngram_join
+from kindred.llm import chat_trees, decontaminate, language_id, line_dedup, line_quality, ngram_join, url_trust
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,31 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+PROBE = "\\### Assistant: </turn> ok"
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    found = chat_trees.format_paths(chat_trees.chain(rows.unionByName(probe)))
+    turns = F.transform(chat_trees.read_turns(F.col("formatted")), lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))
+    read = found.select(F.col("tree").alias("conv_id"), F.size(turns).cast("long").alias("n_turns"), F.array_join(turns, "").alias("turns"), chat_trees.read_loss(F.col("formatted"), F.col("loss_mask")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return read.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_quality.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+RULES = [url_trust.Rule("allow", "org", "/"), url_trust.Rule("block", "example.org", "/es/"), url_trust.Rule("block", "example.org", "/en/1"), url_trust.Rule("allow", "com", "/fr/"), url_trust.Rule("block", "com", "/de/")]
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return url_trust.judge_pages(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(~language_id.held_out()))
@@ -39,9 +64,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_language_id": op3_language_id,
+    "op5_quality_rules": op5_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op9_line_dedup": op9_line_dedup,
+    "op10_url_filters": op10_url_filters,
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -50,10 +78,10 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": f"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '{SPACES}'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '{SPACES}'), lambda x: x <> '') AS w FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s FROM w
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w
 ), t AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
 pairs AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id
@@ -62,12 +90,44 @@ pairs AS (
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id
 FROM s LEFT JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, s.s""",
+    "op2_chat_formatting": """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+e AS (SELECT *, length(role) + 2 * (length(role) - length(translate(role, '#<:\\', ''))) - (length(role) - length(translate(role, '#<:\\', ''))) AS r,
+  length(text) + (length(text) - length(translate(text, '#<\\', ''))) AS t FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  sum(r + t + 14)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""",
+    "op5_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') AS l FROM d),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS x FROM w WHERE len(w) >= 5),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM rep) GROUP BY doc_id),
+ln AS (SELECT doc_id, unnest(l) AS x FROM w),
+m AS (SELECT doc_id, x, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS c,
+  len(string_split(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), ' ')) AS nw,
+  length(x) - length(translate(x, '#*$%&|<>', '')) AS sy, length(x) - length(translate(x, '|•»›', '')) AS me,
+  length(x) - length(translate(x, '.!?,;:…"', '')) AS pu FROM ln),
+good AS (SELECT doc_id, sum(c) AS c FROM m WHERE NOT (sy * 10 > c OR (me * 4 >= nw AND me >= 2)
+  OR (length(x) <= 200 AND regexp_matches(lower(x), 'cookie|privacy policy|terms of (use|service)|all rights reserved|subscribe|sign (up|in)|log ?in|click here|read more|javascript|licensed under|copyright|powered by'))
+  OR (nw >= 12 AND pu = 0)) GROUP BY doc_id),
+b AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN cov USING (doc_id))
+SELECT b.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * coalesce(good.c, 0) >= 50 * word_chars AS kept
+FROM b LEFT JOIN good USING (doc_id)""",
     "op7_decontamination": f"""
 WITH dw AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 bw AS (SELECT item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
-win AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), i -> array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS x FROM bw WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS x FROM bw WHERE len(w) > 0),
 ms AS (SELECT DISTINCT m FROM win),
-dpos AS (SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS i, unnest(list_transform(range(1, len(w) - m + 2), i -> array_to_string(w[i:i + m - 1], ' '))) AS x FROM dw, ms WHERE len(w) >= m),
+dpos AS (SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS i, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS x FROM dw, ms WHERE len(w) >= m),
 hits AS (SELECT doc_id, m, i, item_id FROM dpos JOIN win USING (m, x)),
 words AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS j FROM hits) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id)
