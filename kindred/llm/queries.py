@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import chat_trees, decontaminate, language_id, line_dedup, line_quality, ngram_join, url_trust
+from kindred.llm import chat_trees, decontaminate, domain_mixing, language_id, line_dedup, line_quality, ngram_join, pseudonyms, secret_scan, url_trust
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,25 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), forest)
+    return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), F.transform("secrets", lambda s: s.start).alias("starts"))
+
+
+def op6_domain_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return domain_mixing.mix(docs, table(spark, sf_dir, "labels")).select("doc_id", "n_tokens", "domains", "posteriors", "rate", "copies")
+
+
+PII_KEY = "kindred-pseudonyms-1"
+
+
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return found.select("doc_id", F.size("values").cast("long").alias("n_values"), "values", "text")
+
+
 PROBE = "\\### Assistant: </turn> ok"
 
 
@@ -66,8 +85,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_language_id": op3_language_id,
+    "op4_secret_scan": op4_secret_scan,
     "op5_quality_rules": op5_quality_rules,
+    "op6_domain_mixing": op6_domain_mixing,
     "op7_decontamination": op7_decontamination,
+    "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filters": op10_url_filters,
 }
