@@ -9,9 +9,11 @@ rates are then the least-squares solution, with rates of 0 or more, of
 found by accelerated projected gradient steps from rate 1. The step of document
 d is p_d . residual / L, the gradient in a metric that weighs a rate by its
 tokens, so long and short documents are treated alike. An iteration is one
-aggregation over a table of (tokens, posteriors); only the K residuals go to the
-driver. Every ``STORED`` steps the rates are stored, so that no pass replays more
-than that many.
+aggregation over a table of (tokens, posteriors) without texts; only the K
+residuals go to the driver. Every ``STORED`` steps the rates are stored, so that
+no pass replays more than that many. A document's rate follows from its
+posteriors and the list of steps, so the last pass works it out next to the text
+and nothing has to be joined.
 
 Defined cases: a null or empty text has no tokens, the posteriors of an empty
 text and no influence. Documents that share an id are mixed one by one. Labels
@@ -192,12 +194,13 @@ def domain_totals(table: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def solve_rates(table: DataFrame, targets: np.ndarray, scratch: Scratch, max_steps: int = STEPS) -> DataFrame:
-    """``table`` (n_tokens, posteriors, rate, last, ...) with the fitted rates."""
+def solve_rates(table: DataFrame, targets: np.ndarray, scratch: Scratch, max_steps: int = STEPS) -> list[tuple[float, np.ndarray]]:
+    """The steps that fit the rates of ``table`` (n_tokens, posteriors, rate, last)."""
     k = len(targets)
     lipschitz = max(domain_totals(table, k).max(), 1.0)
     total = targets.sum() or 1.0
     steps: list[tuple[float, np.ndarray]] = []
+    every: list[tuple[float, np.ndarray]] = []
     t = 1.0
     for i in range(max_steps):
         nxt = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -209,11 +212,13 @@ def solve_rates(table: DataFrame, targets: np.ndarray, scratch: Scratch, max_ste
         if np.abs(residual).sum() <= TOLERANCE * total:
             break
         steps.append((momentum, residual / lipschitz))
+        every.append(steps[-1])
         t = nxt
         if (i + 1) % STORED == 0:
-            table = scratch.save(table.mapInArrow(_Rates(steps), table.schema), "rates")
+            old, table = table, scratch.save(table.mapInArrow(_Rates(steps), table.schema), "rates")
+            scratch.drop(old)
             steps = []
-    return table.mapInArrow(_Rates(steps), table.schema)
+    return every
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -229,15 +234,17 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("posteriors", T.ArrayType(T.DoubleType())), T.StructField("rate", T.DoubleType()), T.StructField("last", T.DoubleType())]
     schema = T.StructType([*(docs.schema[c] for c in keep if c not in {a.name for a in added}), *added])
     base = [f.name for f in schema][: -len(added)]
-    table = docs.select(*base, F.col("text").cast("binary").alias("__text")).mapInArrow(_Posteriors(model, schema.names), schema)
-    table = scratch.save(table, "posteriors")
+    full = docs.select(*base, F.col("text").cast("binary").alias("__text")).mapInArrow(_Posteriors(model, schema.names), schema)
+    slim = T.StructType(added)
+    table = scratch.save(docs.select(F.col("text").cast("binary").alias("__text")).mapInArrow(_Posteriors(model, slim.names), slim), "posteriors")
     present = domain_totals(table, len(model.domains))
     weights = np.array([(targets or TARGETS).get(d, 0.0) for d in model.domains])
     if not weights.sum():
         weights = np.ones(len(weights))
     weights = weights / weights.sum()
     budget = max(present.sum(), present[weights.argmax()] / weights.max())
-    mixed = solve_rates(table, weights * budget, scratch).drop("last")
+    steps = solve_rates(table, weights * budget, scratch)
+    mixed = full.mapInArrow(_Rates(steps), schema).drop("last")
     chance = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     mixed = mixed.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
     return mixed.withColumn("domains", F.array(*map(F.lit, model.domains)))
