@@ -197,6 +197,7 @@ class _Scan:
     def __init__(self, searchers: list[Searcher], names: list[str]):
         self.searchers, self.names = searchers, names
 
+    @W.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from scan(iter([batch]), self.searchers, self.names, batch.schema)

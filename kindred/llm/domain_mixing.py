@@ -113,6 +113,7 @@ def fit(ids: list[np.ndarray], labels: list[str], epochs: int = EPOCHS) -> Class
 class _Features:
     """doc_id, domain and features of labelled rows."""
 
+    @W.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, offsets in W.chunks(batch, "__text"):
@@ -135,6 +136,7 @@ class _Posteriors:
     def __init__(self, model: Classifier, names: list[str]):
         self.model, self.names = model, names
 
+    @W.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, offsets in W.chunks(batch, "__text"):
@@ -162,6 +164,7 @@ class _Totals:
     def __init__(self, steps: list[tuple[float, np.ndarray]], momentum: float):
         self.steps, self.momentum = steps, momentum
 
+    @W.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
@@ -177,6 +180,7 @@ class _Rates:
     def __init__(self, steps: list[tuple[float, np.ndarray]]):
         self.steps = steps
 
+    @W.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:

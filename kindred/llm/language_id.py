@@ -101,6 +101,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> Features:
 class _Count:
     """Counts of trigrams, whole words and scripts of each language; k says which."""
 
+    @W.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -230,6 +231,7 @@ class _Label:
             out[:, k] = np.bincount(word, self.model.trigrams[:, k][f.trigrams[where]], minlength=len(at))
         return out
 
+    @W.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_lang = len(self.model.languages)
         for batch in batches:

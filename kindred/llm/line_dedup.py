@@ -52,6 +52,7 @@ class _Entries:
     def __init__(self, min_chars: int):
         self.min_chars = min_chars
 
+    @W.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, offsets in W.chunks(batch, "__text"):
@@ -73,6 +74,7 @@ class _Keep:
     def __init__(self, schema: list[str]):
         self.names = schema
 
+    @W.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, offsets in W.chunks(batch, "__text"):

@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that go to Python at a time, about as many as are worked on at a time.
+BATCH_ROWS = 512
+
 
 class Scratch:
     """Writes tables below ``spark.checkpoint.dir`` and reads them back.
@@ -31,7 +35,12 @@ class Scratch:
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
+        rows = self.spark.conf.get(BATCH)
+        self.spark.conf.set(BATCH, str(min(int(rows), BATCH_ROWS)))
+        try:
+            writer.parquet(path)
+        finally:
+            self.spark.conf.set(BATCH, rows)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._kindred_path = path
         return out
