@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import evidence as E
+from kindred.functions import fingerprint as FP
 from kindred.functions import quality as Q
 from kindred.functions import text as X
 from kindred.operators import candidates, groups
@@ -180,13 +181,31 @@ def member_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.member_pairs(components(spark, sf_dir))
 
 
-@query("group_status", EVIDENCE_SQL + "SELECT group_id, CASE WHEN bool_or(classification IN ('DIFFERENT', 'CONFLICT', 'PROBABLE')) THEN 'REVIEW_REQUIRED' ELSE 'AUTO_CONFIRMED' END AS status, round(min(confidence), 6) AS confidence FROM d JOIN comps ON file_id = left_id GROUP BY group_id")
+@query("group_status", EVIDENCE_SQL + """
+, every AS (SELECT x.group_id, x.file_id AS left_id, y.file_id AS right_id, l.duration_ms = r.duration_ms AND x.file_id % 3 = y.file_id % 3 AS same_bytes, coalesce(l.version <> r.version, FALSE) AS clash, 0.9::DOUBLE + ((x.file_id * 7 + y.file_id * 3) % 101) / 1000.0::DOUBLE AS sound
+  FROM comps x JOIN comps y ON x.group_id = y.group_id AND x.file_id < y.file_id JOIN b l ON l.file_id = x.file_id JOIN b r ON r.file_id = y.file_id)
+SELECT group_id, CASE WHEN bool_or(NOT same_bytes AND (clash OR sound < 0.985::DOUBLE)) THEN 'REVIEW_REQUIRED' ELSE 'AUTO_CONFIRMED' END AS status,
+  round(min(CASE WHEN same_bytes THEN 1.0::DOUBLE WHEN sound < 0.93::DOUBLE THEN 1.0 - sound ELSE sound END), 6) AS confidence FROM every GROUP BY group_id""")
 def group_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the linked pairs of each group; ``groups.member_pairs`` gives the complete evidence."""
-    pairs = candidates.best_tier(records(spark, sf_dir))
-    members = groups.connected_components(pairs).withColumnRenamed("file_id", "left_id")
-    e = classified(with_evidence(pairs, spark, sf_dir)).join(members, "left_id")
-    return groups.group_status(e).withColumn("confidence", F.round("confidence", 6))
+    """Evidence of a group is that of all pairs of its members, linked or not."""
+    pairs = groups.member_pairs(components(spark, sf_dir))
+    return groups.group_status(classified(with_evidence(pairs, spark, sf_dir))).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("fingerprint_similarity", """
+WITH f AS (SELECT p_partkey AS k, list_transform(range(CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE 20 + p_partkey % 9 END), lambda i: ((i + p_partkey % 4) * 48271 + CASE WHEN i % 5 = 0 THEN p_partkey % 16 ELSE 0 END) % 65536) AS v FROM part),
+p AS (SELECT l.k AS left_id, r.k AS right_id, l.v AS lv, r.v AS rv FROM f l JOIN f r ON r.k = l.k + 1),
+i AS (SELECT left_id, lv, rv, unnest(range(len(lv))) AS i FROM p), ij AS (SELECT *, unnest(range(len(rv))) AS j FROM i),
+n AS (SELECT left_id, j - i AS shift, count(*) AS n FROM ij WHERE j - i BETWEEN -120 AND 119 AND bit_count(xor(lv[i + 1], rv[j + 1])) <= 2 GROUP BY ALL),
+m AS (SELECT left_id, max(n) AS n FROM n GROUP BY left_id)
+SELECT left_id, right_id, round(coalesce(CASE WHEN len(lv) > 0 AND len(rv) > 0 THEN n::DOUBLE / least(len(lv), len(rv)) END, 0.0), 6) AS score FROM p LEFT JOIN m USING (left_id)""")
+def fingerprint_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    n = F.when(key % 11 == 0, 0).otherwise(20 + key % 9)
+    cell = lambda i: ((i + key % 4) * 48271 + F.when(i % 5 == 0, key % 16).otherwise(0)) % 65536
+    f = table(spark, sf_dir, "part").select(key.alias("k"), F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), cell)).otherwise(F.array().cast("array<bigint>")).alias("v"))
+    left, right = f.select(F.col("k").alias("left_id"), F.col("v").alias("lv")), f.select((F.col("k") - 1).alias("left_id"), F.col("k").alias("right_id"), F.col("v").alias("rv"))
+    return left.join(right, "left_id").select("left_id", "right_id", F.round(FP.alignment_score(F.col("lv"), F.col("rv")), 6).alias("score"))
 
 
 # Quality ---------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.functions import evidence as E
+from kindred.functions import fingerprint as FP
 from kindred.functions import text as X
 from kindred.operators import groups
 from kindred.sources import journal_file, tables
@@ -96,3 +97,10 @@ def test_tables(spark, tmp_path):
     found = tables.discover(spark, str(tmp_path / "in"), ("mp3", "flac")).orderBy("relative_path").collect()
     assert [(r["relative_path"], r["size_bytes"]) for r in found] == [("a.MP3", 3), ("x/c.flac", 3)]
     assert json.loads(d.select(F.to_json(F.struct("*")).alias("j")).where("id = 1").first()["j"])["s"] == 'a,"b"'
+
+
+def test_fingerprint_shift(spark):
+    a = [(i * 48271) % 65536 for i in range(30)]
+    d = spark.createDataFrame([(0, a, a), (1, a, a[5:]), (2, a, []), (3, None, a), (4, [0], [7]), (5, [0], [3])], "i int, l array<bigint>, r array<bigint>")
+    got = [r[0] for r in d.select(FP.alignment_score(F.col("l"), F.col("r")), "i").orderBy("i").collect()]
+    assert got == [1.0, 1.0, 0.0, 0.0, 0.0, 1.0]
