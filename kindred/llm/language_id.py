@@ -235,7 +235,7 @@ class _Label:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_lang = len(self.model.languages)
         for batch in batches:
-            for part, raw, offsets in W.chunks(batch, "__text"):
+            for part, raw, offsets in W.chunks(batch, "text"):
                 f = features(raw, offsets)
                 first = f.words.first
                 lettered = self._lettered(raw, offsets, f)
@@ -291,7 +291,7 @@ def label_languages(docs: DataFrame, model: Model, penalty: float = SWITCH_PENAL
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(SPAN))]
     old = [f for f in docs.schema if f.name not in {a.name for a in added}]
     schema = T.StructType([*old, *added])
-    now = docs.select(*(f.name for f in old)).withColumn("__text", F.col("text").cast("binary"))
+    now = docs.select(*(f.name for f in old))
     return now.mapInArrow(_Label(model, penalty, schema.names), schema)
 
 
