@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from kindred.plans import linkage  # noqa: F401 (registers its queries)
+from kindred.plans import linkage, reports  # noqa: F401 (registers its queries)
 from kindred.plans.catalogue import ORACLE, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
