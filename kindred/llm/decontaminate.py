@@ -129,7 +129,7 @@ def compile_windows(items: list[tuple[str, bytes | None]], window: int) -> tuple
 def scan(batches: Iterator[pa.RecordBatch], searchers: list[Searcher], names: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Adds to the lists of hit word ranges and of items what these searchers find."""
     for batch in batches:
-        for part, raw, offsets in W.chunks(batch, "__text"):
+        for part, raw, offsets in W.chunks(batch, "text"):
             buf = W.LOWER[raw]
             words = W.find_words(buf, offsets, W.ALNUM)
             w, low = words.hashes(), buf.tobytes()
@@ -176,7 +176,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-int(total) // pass_bytes))
     added = [T.StructField("__n_words", T.LongType()), T.StructField("__ranges", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))]
-    now = docs.withColumns({"__text": F.col("text").cast("binary"), "__n_words": F.lit(0).cast("long"), "__ranges": F.array().cast("array<bigint>"), "__items": F.array().cast("array<string>")})
+    now = docs.withColumns({"__n_words": F.lit(0).cast("long"), "__ranges": F.array().cast("array<bigint>"), "__items": F.array().cast("array<string>")})
     for k in range(passes):
         rows = bench.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == k).collect()
         searchers, names = compile_windows([(r.id, bytes(r.text) if r.text is not None else None) for r in rows], window)
@@ -190,7 +190,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         lambda a: a.n,
     )
     found = now.withColumns({"n_words": F.col("__n_words"), "n_hit": F.when(F.size("__ranges") > 0, hit).otherwise(F.lit(0).cast("long")), "n_items": F.size("__items").cast("long"), "item_ids": F.array_sort("__items")})
-    return found.withColumn("contaminated", F.col("n_hit") > 0).drop("__text", "__n_words", "__ranges", "__items")
+    return found.withColumn("contaminated", F.col("n_hit") > 0).drop("__n_words", "__ranges", "__items")
 
 
 class _Scan:
