@@ -118,3 +118,29 @@ def journal_state(events: DataFrame, watermark: int) -> DataFrame:
 def numbered(pending: DataFrame, after: int) -> DataFrame:
     """Gap-free sequence numbers behind ``after`` in the order of recorded_at, event_uuid; one batch of decisions."""
     return pending.withColumn("sequence", F.row_number().over(Window.orderBy("recorded_at", "event_uuid")) + after)
+
+
+def calibration(pairs: DataFrame) -> DataFrame:
+    """Pairs for a look at thresholds; the similarity of sound is text with four decimals, empty for equal bytes."""
+    sound = F.when(F.col("same_bytes") | F.col("sound").isNull(), "").otherwise(F.format_string("%.4f", "sound"))
+    return pairs.withColumn("sound", sound)
+
+
+def manifest_groups(groups: DataFrame, files: DataFrame, pairs: DataFrame) -> DataFrame:
+    """group_id, entry: the JSON of each group of a review with its records and pairs.
+
+    files: group_id, file_id, relative_path, quality_score and what else a record
+    shows. pairs: group_id, left_file_id, right_file_id and their evidence.
+    """
+    entry = F.struct(*(F.col(c) for c in sorted(files.columns) if c != "group_id"))
+    listed = files.groupBy("group_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col("file_id").alias("k"), entry.alias("e")))), lambda x: x["e"]).alias("files"),
+        F.count("*").alias("file_count"),
+        F.min("relative_path").alias("sort_path"),
+        (F.max("quality_score") - F.min("quality_score")).alias("quality_delta"),
+    )
+    evidence = F.struct(*(F.col(c) for c in sorted(pairs.columns) if c != "group_id"))
+    compared = pairs.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("left_file_id", "right_file_id", evidence.alias("e")))), lambda x: x["e"]).alias("pairs"))
+    whole = groups.join(listed, "group_id", "left").join(compared, "group_id", "left").join(group_reasons(pairs, groups), "group_id")
+    whole = whole.withColumns({"pairs": F.coalesce("pairs", F.array()), "files": F.coalesce("files", F.array()), "file_count": F.coalesce("file_count", F.lit(0)), "reasons": F.array("reason")}).drop("reason")
+    return whole.select("group_id", F.to_json(F.struct(*(F.col(c) for c in sorted(whole.columns))), {"ignoreNullFields": "false"}).alias("entry"))
