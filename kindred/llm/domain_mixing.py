@@ -139,7 +139,7 @@ class _Posteriors:
     @W.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, offsets in W.chunks(batch, "__text"):
+            for part, raw, offsets in W.chunks(batch, "text"):
                 ids, n = feature_ids(raw, offsets)
                 new = {"n_tokens": pa.array(n.astype(np.int64)), "posteriors": pa.array(list(self.model.posteriors(ids)), pa.list_(pa.float64())), "rate": pa.array(np.ones(len(n))), "last": pa.array(np.ones(len(n)))}
                 yield pa.RecordBatch.from_arrays([new[x] if x in new else part.column(x) for x in self.names], names=self.names)
@@ -225,6 +225,16 @@ def solve_rates(table: DataFrame, targets: np.ndarray, scratch: Scratch, max_ste
     return every
 
 
+class _Chain:
+    """Two steps in one Python worker, where two calls of mapInArrow would hold two."""
+
+    def __init__(self, first: _Posteriors, second: _Rates):
+        self.first, self.second = first, second
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return self.second(self.first(batches))
+
+
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` with n_tokens, domains, posteriors, rate and copies.
 
@@ -238,9 +248,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("posteriors", T.ArrayType(T.DoubleType())), T.StructField("rate", T.DoubleType()), T.StructField("last", T.DoubleType())]
     schema = T.StructType([*(docs.schema[c] for c in keep if c not in {a.name for a in added}), *added])
     base = [f.name for f in schema][: -len(added)]
-    full = docs.select(*base, F.col("text").cast("binary").alias("__text")).mapInArrow(_Posteriors(model, schema.names), schema)
     slim = T.StructType(added)
-    table = scratch.save(docs.select(F.col("text").cast("binary").alias("__text")).mapInArrow(_Posteriors(model, slim.names), slim), "posteriors")
+    table = scratch.save(docs.select("text").mapInArrow(_Posteriors(model, slim.names), slim), "posteriors")
     present = domain_totals(table, len(model.domains))
     weights = np.array([(targets or TARGETS).get(d, 0.0) for d in model.domains])
     if not weights.sum():
@@ -248,7 +257,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     weights = weights / weights.sum()
     budget = max(present.sum(), present[weights.argmax()] / weights.max())
     steps = solve_rates(table, weights * budget, scratch)
-    mixed = full.mapInArrow(_Rates(steps), schema).drop("last")
+    final = _Chain(_Posteriors(model, schema.names), _Rates(steps))
+    mixed = docs.select(*dict.fromkeys([*base, "text"])).mapInArrow(final, schema).drop("last")
     chance = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     mixed = mixed.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
     return mixed.withColumn("domains", F.array(*map(F.lit, model.domains)))

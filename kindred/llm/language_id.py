@@ -235,7 +235,7 @@ class _Label:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_lang = len(self.model.languages)
         for batch in batches:
-            for part, raw, offsets in W.chunks(batch, "text"):
+            for part, raw, offsets in W.chunks(batch, "text", 1 << 20):
                 f = features(raw, offsets)
                 first = f.words.first
                 lettered = self._lettered(raw, offsets, f)

@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
-PIECE = 1 << 20
-CHUNK = 1 << 20
+PIECE = 1 << 19
+CHUNK = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODE = _rng.integers(1, 2**63, size=256, dtype=np.uint64) | np.uint64(1)
