@@ -1,15 +1,20 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are runs of 16 and more key characters with a digit and a letter. A
+Candidates are runs of 16 and more key characters with a digit and a letter; an
+``=`` ends a name, and belongs to a candidate only as padding at its end. A
 forest judges them by length, transitions between character classes, distinct
-characters, share of hexadecimal digits, coverage by dictionary words, the path
-they stand in and neighbouring words. It is trained from labelled findings
+characters, share of hexadecimal digits, coverage by dictionary words, prefixes
+of issuers, the path they stand in, whether something is assigned to them, and
+words in the ``CONTEXT`` code points in front, whatever else stands there; of
+words for and against a secret the nearest counts. It is trained from labelled findings
 (before, candidate, after, is_secret); its trees are then written as nested
 conditions, so documents are judged in their rows with built-in expressions and
 without a shuffle.
 
-``labelled_findings`` makes such a table by rule: random keys in assignments
-against digests, identifiers, paths and placeholders in their usual places.
+``labelled_findings`` makes such a table by rule: random keys in assignments to
+short and long names, and keys that stand alone but have an issuer's prefix or
+mixed case, against digests, identifiers, paths, names and placeholders in their
+usual places. A bare hexadecimal run is taken for a digest.
 
 Defined cases: a null or empty text has no candidates. Equal candidates at
 several places are reported at each. Repeated rows are each judged. Columns of
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.exprs import let
 
-CANDIDATE = "[A-Za-z0-9_+/=-]{16,}"
+CANDIDATE = "[A-Za-z0-9_+/-]{16,}(?:={1,2}(?![A-Za-z0-9_+/=-]))?"
 CONTEXT = 40
 TREES, DEPTH, SEED = 15, 5, 7
 LEAST_SCORE = 0.5
@@ -34,9 +39,11 @@ LEAST_SCORE = 0.5
 DICTIONARY = ["user", "test", "name", "page", "file", "data", "example", "your", "here", "image", "index", "config", "version", "class", "module", "default", "value", "list", "item", "build", "release", "report", "content", "document"]
 #: Words before a secret, and before what only looks like one.
 SECRET_WORDS = "token|secret|passw|api.?key|access.?key|auth|bearer|credential|private"
-HARMLESS_WORDS = "commit|sha-?1|sha-?256|md5|checksum|digest|etag|revision|hash|uuid|blob"
+HARMLESS_WORDS = "commit|sha-?1|sha-?256|sha-?512|integrity|md5|checksum|digest|etag|revision|hash|uuid|blob"
+#: How keys of known issuers begin.
+ISSUERS = "^(AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[srp]k-|[srp]k_(live|test)_|hf_|npm_|pypi-)"
 
-FEATURES = ["length", "transitions", "distinct", "hex", "dictionary", "path", "secret_word", "harmless_word", "assigned"]
+FEATURES = ["length", "transitions", "distinct", "hex", "dictionary", "path", "secret_word", "harmless_word", "assigned", "issuer", "named"]
 
 
 def features(before: Column, value: Column, after: Column) -> Column:
@@ -55,22 +62,47 @@ def features(before: Column, value: Column, after: Column) -> Column:
         (F.length(F.regexp_replace(low, "[^0-9a-f]", "")) / n).alias("hex"),
         ((n - F.length(covered)) / n).alias("dictionary"),
         yes(F.contains(value, F.lit("/")) | near.rlike("[/.]$") | after.rlike("^[.][a-z]")).alias("path"),
-        yes(near.rlike(SECRET_WORDS)).alias("secret_word"),
-        yes(near.rlike(HARMLESS_WORDS)).alias("harmless_word"),
+        yes(near.rlike(f"(?s)({SECRET_WORDS})(?!.*({HARMLESS_WORDS}))")).alias("secret_word"),
+        yes(near.rlike(f"(?s)({HARMLESS_WORDS})(?!.*({SECRET_WORDS}))")).alias("harmless_word"),
         yes(near.rlike("[=:]\\s*[\"']?$")).alias("assigned"),
+        yes(value.rlike(ISSUERS)).alias("issuer"),
+        yes(after.rlike("^[\"']?\\s*[=:]") | (value.rlike("^[A-Za-z_][A-Za-z0-9_-]*=$") & after.rlike("^[\"']") & ~near.rlike("[\"']$"))).alias("named"),
     )
 
 
 def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
     """before, value, after, is_secret: generated findings, half of each label."""
     row = spark.range(0, n, 1, 1).withColumn("h", F.sha2(F.col("id").cast("string"), 256)).withColumn("g", F.base64(F.unhex(F.sha2(F.concat(F.lit("g"), F.col("id").cast("string")), 256))))
-    pick = lambda *xs: F.element_at(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in xs)), ((F.floor(F.col("id") / 2) % len(xs)) + 1).cast("int"))
-    keyed = pick('token = "', 'api_key: "', "password=", "secret: '", "Authorization: Bearer ", 'access_key = "', "auth_token=")
-    key = pick(F.substring("h", 1, 40), F.substring("h", 1, 32), F.translate(F.substring("g", 1, 40), "/+", "ab"), F.upper(F.substring("h", 5, 40)), F.concat(F.lit("sk-"), F.translate(F.substring("g", 1, 30), "/+", "cd")))
-    plain = pick("commit ", "sha256: ", "md5 checksum ", "see https://example.com/", "file ", "the ", "id ", 'name = "', "class ", "token = ")
-    noise = pick(F.substring("h", 1, 40), F.col("h"), F.substring("h", 1, 32), F.concat(F.lit("docs/page_"), F.substring("h", 1, 12)), F.concat(F.lit("report_file_version_"), F.col("id").cast("string")), F.concat(F.lit("user_page_index_list_"), F.col("id").cast("string")), F.concat_ws("-", F.substring("h", 1, 8), F.substring("h", 9, 4), F.substring("h", 13, 4), F.substring("h", 17, 12)), F.concat(F.lit("default_image_content_"), F.col("id").cast("string")), F.concat(F.lit("TestModuleConfigDocument"), F.col("id").cast("string")), F.concat(F.lit("your_example_value_here_"), F.col("id").cast("string")))
+    at = F.floor(F.col("id") / 2)
+    pick = lambda at, *xs: F.element_at(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in xs)), (at % len(xs) + 1).cast("int"))
+    h = lambda a, k: F.substring("h", a, k)
+    g = lambda k: F.translate(F.substring("g", 1, k), "/+", "ab")
+    uuid = F.concat_ws("-", h(1, 8), h(9, 4), h(13, 4), h(17, 12))
+    issued = [F.concat(F.lit("sk-"), g(30)), F.concat(F.lit("AKIA"), F.upper(h(1, 16))), F.concat(F.lit("ghp_"), g(36)), F.concat(F.lit("xoxb-"), h(1, 12), F.lit("-"), g(24))]
+    # The numbers of places and of keys have no common factor, so that all pairs occur.
+    places = ['token = "', 'api_key: "', "password=", "secret: '", "Authorization: Bearer ", 'access_key = "', "auth_token=", 'aws_secret_access_key = "', "github_access_token: ", "AWS_SECRET_ACCESS_KEY=", '"client_secret": "']
+    keyed = [h(1, 40), h(1, 32), g(40), F.upper(h(5, 40)), F.substring("g", 1, 40), F.col("g"), F.col("h"), uuid, *issued]
+    alone = ["", "we use ", "see\n", "(", 'x = "', "it is ", "- "]
+    bare = [*issued, g(40), g(32)]
+    third = F.floor(at / 3)
+    lone = at % 3 == 2
+    plain = [
+        ("commit ", h(1, 40)), ("sha256: ", F.col("h")), ("md5 checksum ", h(1, 32)), ("see https://example.com/", F.concat(F.lit("docs/page_"), h(1, 12))),
+        ("file ", F.concat(F.lit("report_file_version_"), F.col("id").cast("string"))), ("the ", F.concat(F.lit("user_page_index_list_"), F.col("id").cast("string"))),
+        ("id ", uuid), ('name = "', F.concat(F.lit("default_image_content_"), F.col("id").cast("string"))), ("class ", F.concat(F.lit("TestModuleConfigDocument"), F.col("id").cast("string"))),
+        ("token = ", F.concat(F.lit("your_example_value_here_"), F.col("id").cast("string"))), ("the ", h(1, 40)), ("integrity sha512-", F.col("g")), ("see https://example.com/", g(22)),
+    ]
+    # Names that something is assigned to.
+    names = [F.concat(F.lit(x), h(1, 1), F.lit(y)) for x, y in (("aws_s3_secret_access_key_", ""), ("service_auth_token_v", ""), ("BACKUP2_API_KEY_", "="))]
     secret = F.col("id") % 2 == 1
-    return row.select(F.when(secret, keyed).otherwise(plain).alias("before"), F.when(secret, key).otherwise(noise).alias("value"), F.lit('" ').alias("after"), secret.alias("is_secret"))
+    name = ~secret & (at % 7 == 6)
+    by = lambda a, b, c, d: F.when(secret & lone, a).when(secret, b).when(name, c).otherwise(d)
+    return row.select(
+        by(pick(third, *alone), pick(third, *places), pick(F.floor(at / 7), "export ", "\n", '{"', "set the token "), pick(at, *(b for b, _ in plain))).alias("before"),
+        by(pick(third, *bare), pick(third, *keyed), pick(F.floor(at / 7), *names), pick(at, *(v for _, v in plain))).alias("value"),
+        by(F.lit(" and "), F.lit('" '), F.when(pick(F.floor(at / 7), *names).endswith("="), '"x1').otherwise(' = "x1"'), F.lit('" ')).alias("after"),
+        secret.alias("is_secret"),
+    )
 
 
 class Forest:
@@ -115,12 +147,13 @@ def scan_secrets(docs: DataFrame, forest: Forest, least_score: float = LEAST_SCO
     none = F.array().cast("array<struct<at:int,before:string,value:string,after:string>>")
     placed = F.aggregate(
         F.arrays_zip(F.col("__parts").alias("part"), F.col("__match").alias("value"), F.slice("__parts", 2, 2147483647).alias("following")),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out")),
         lambda s, x: F.struct(
             (s.at + F.length(x.part) + F.coalesce(F.length(x.value), F.lit(0))).alias("at"),
+            F.right(F.concat(s.tail, F.right(x.part, F.lit(CONTEXT)), F.right(F.coalesce(x.value, F.lit("")), F.lit(CONTEXT))), F.lit(CONTEXT)).alias("tail"),
             F.when(
                 x.value.rlike("[0-9]") & x.value.rlike("[A-Za-z]"),
-                F.concat(s.out, F.array(F.struct((s.at + F.length(x.part)).alias("at"), F.right(x.part, F.lit(CONTEXT)).alias("before"), x.value.alias("value"), F.left(F.coalesce(x.following, F.lit("")), F.lit(8)).alias("after")))),
+                F.concat(s.out, F.array(F.struct((s.at + F.length(x.part)).alias("at"), F.right(F.concat(s.tail, F.right(x.part, F.lit(CONTEXT))), F.lit(CONTEXT)).alias("before"), x.value.alias("value"), F.left(F.coalesce(x.following, F.lit("")), F.lit(8)).alias("after")))),
             ).otherwise(s.out).alias("out"),
         ),
         lambda s: s.out,

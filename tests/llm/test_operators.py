@@ -174,6 +174,21 @@ def test_secrets(spark):
     assert [len(got[i].secrets) for i in (2, 3, 4)] == [0, 0, 0] and got[2].n_candidates == 1
 
 
+def test_secret_forms(spark):
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    rng = random.Random(5)
+    some = lambda n, of="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(of) for _ in range(n - 1)) + "7"
+    sha = hashlib.sha1(b"y").hexdigest()
+    named = ["password={}", "auth_token={}", "AWS_SECRET_ACCESS_KEY={}", 'aws_secret_access_key = "{}"', "github_access_token: {}", "https://x.org/?access_token={}&a=1", "aws_s3_secret_access_key_1={}", '{{"client_secret_2024_key": "{}"}}']
+    hits = [(f.replace("{}", k).replace("{{", "{").replace("}}", "}"), k) for f in named for k in (sha, some(40), some(43) + "=")]
+    hits += [(f"we use {k} for it", k) for k in ("AKIA" + some(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "ghp_" + some(36), some(40))]
+    hits += [(f'commit {sha} token = "{k}"', k) for k in [some(32)]]
+    misses = [f"commit {sha}", f"the {sha} is known", "class TestModuleConfigDocument2024", 'token = "x", sha256: ' + hashlib.sha256(b"z").hexdigest(), "report_file_version_2024_1=3", "see https://example.com/docs/page_1234567890ab"]
+    rows = [(i, t) for i, t in enumerate([t for t, _ in hits] + misses)]
+    got = {r.doc_id: [(s.start, s.value) for s in r.secrets] for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), forest).collect()}
+    assert [(rows[i][1], got[i]) for i in got] == [(t, [(t.index(k), k)]) for t, k in hits] + [(t, []) for t in misses]
+
+
 def test_pseudonyms(spark):
     text = "call +1 (017) 555-7713 card 4111111111111111 on 2024-02-29 or 31.12.1999 from 10.0.0.1, not 999.1.1.1 or 2024-02-30 or 4111111111111112, mail a.b@x.org"
     out = [r for r in pseudonyms.pseudonymise(spark.createDataFrame([(1, text), (2, "x " + text), (3, None), (4, "")], "doc_id long, text string"), "k").orderBy("doc_id").collect()]
