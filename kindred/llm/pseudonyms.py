@@ -8,6 +8,15 @@ kind alone, so equal values have equal pseudonyms in all documents and different
 values different ones. Mail addresses are named by a keyed digest of their local
 part, of its length. Everything is a built-in expression over the row.
 
+Telephone numbers are those with an area code in brackets, three groups of 3, 3
+and 4 digits, ``+`` and 7 to 15 digits, ``00`` and such groups, or a leading 0 and
+two or three groups; a country code can stand before the first two. Numbers
+without any separator, bracket or ``+`` are not told from other digits. Dates
+have a year of four digits, first or last, and ``-``, ``/`` or ``.`` between parts
+of one or two digits. With ``/`` and ``-`` a year at the end follows the month and
+day, or the day and month where that is no date; such a date becomes another one
+after the 12th of a month, so that it cannot be read the other way either.
+
 A Feistel round adds a keyed digest of one part to the other, modulo the size of
 that part; parts are the two halves of a digit string, or of any domain of a * b
 values. Dates are permuted within 73000 = 250 * 292 days from 1900-01-01.
@@ -27,14 +36,24 @@ from kindred.llm.exprs import let
 
 ROUNDS = 8
 EPOCH, DAY_PARTS = "1900-01-01", (250, 292)
+#: Two days in five are not after the 12th: 0.4 ** 64 is about 3e-26.
+LATE_ROUNDS = 64
 
 MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"
-PHONE = r"(?<![0-9+])\+?[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+PHONE = "|".join(
+    [
+        r"(?:(?<![0-9+])\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,5}\)[ .-]?[0-9]{3,5}[ .-]?[0-9]{3,5}(?![0-9])",
+        r"(?<![0-9+])(?<![0-9][.-])(?:(?:\+[0-9]{1,3}|1)[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])",
+        r"(?<![0-9+])\+[1-9](?:[ .-]?[0-9]|[ .-]?\([0-9]{1,4}\)){6,14}(?![0-9/]|[.-][0-9])",
+        r"(?<![0-9+])(?<![0-9][.-])00[1-9][0-9]{0,2}(?:[ -][0-9]{2,4}){2,4}(?![0-9/]|[.-][0-9])",
+        r"(?<![0-9+])(?<![0-9][.-])0[1-9][0-9]{0,3}[ -][0-9]{3,4}[ -]?[0-9]{3,4}(?![0-9/]|[.-][0-9])",
+    ]
+)
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])|(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9])"
-CARD = r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"
-ANY = "|".join([MAIL, IP, PHONE, SSN, DATE, CARD])
+DATE = "|".join(rf"(?<![0-9{c}])(?:[0-9]{{4}}{d}[0-9]{{1,2}}{d}[0-9]{{1,2}}|[0-9]{{1,2}}{d}[0-9]{{1,2}}{d}[0-9]{{4}}){after}" for c, d, after in (("-", "-", "(?![0-9-])"), (".", r"\.", "(?![0-9])"), ("/", "/", "(?![0-9])")))
+CARD = r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9])[0-9]{4}([ -])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{6}\1[0-9]{4,5})(?![0-9])"
+ANY = "|".join([MAIL, IP, SSN, DATE, CARD, PHONE])
 
 
 def _digest(key: str, *parts: Column) -> Column:
@@ -104,12 +123,22 @@ def permute_date(day: Column, key: str, inverse: bool = False) -> Column:
     return let(out, lambda s: F.date_add(F.lit(EPOCH).cast("date"), (s.a * b + s.b).cast("int")))
 
 
+def permute_late_date(day: Column, key: str) -> Column:
+    """Dates after the 12th of a month among themselves: permuted until one is reached again."""
+    late = lambda d: F.dayofmonth(d) > 12
+    start = permute_date(day, key)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(LATE_ROUNDS)), start, lambda d, _: F.when(late(d), d).otherwise(permute_date(d, key)))
+
+
 def _day(value: Column) -> Column:
-    parsed = F.lit(None).cast("date")
-    for shape, pattern in (("^[0-9]{4}-", "yyyy-MM-dd"), (r"^[0-9]{2}\.", "dd.MM.yyyy"), ("^[0-9]{2}/", "MM/dd/yyyy")):
-        parsed = F.when(value.rlike(shape), F.try_to_timestamp(value, F.lit(pattern)).cast("date")).otherwise(parsed)
-    inside = F.datediff(parsed, F.lit(EPOCH).cast("date")).between(0, DAY_PARTS[0] * DAY_PARTS[1] - 1)
-    return F.when(inside, parsed)
+    """Struct of the day, or null, and the notation of its parts."""
+    plain = F.translate(value, "./", "--")
+    read = lambda pattern: F.try_to_timestamp(plain, F.lit(pattern)).cast("date")
+    as_ = lambda day, order: F.struct(day.alias("day"), F.lit(order).alias("order"))
+    american = read("M-d-yyyy")
+    found = F.when(plain.rlike("^[0-9]{4}"), as_(read("yyyy-M-d"), "ymd")).when(F.contains(value, F.lit(".")), as_(read("d-M-yyyy"), "dmy")).when(american.isNotNull(), as_(american, "mdy")).otherwise(as_(read("d-M-yyyy"), "late"))
+    inside = lambda d: F.datediff(d, F.lit(EPOCH).cast("date")).between(0, DAY_PARTS[0] * DAY_PARTS[1] - 1)
+    return let(found, lambda f: F.struct(F.when(inside(f.day), f.day).alias("day"), f.order.alias("order"), plain.rlike("(^|-)[0-9](-|$)").alias("short")))
 
 
 def _octets(value: Column) -> Column:
@@ -125,10 +154,10 @@ def kind_of(value: Column) -> Column:
     return (
         F.when(F.contains(value, F.lit("@")), F.lit("mail"))
         .when(whole(r"[0-9]{1,3}(\.[0-9]{1,3}){3}"), ips)
-        .when(F.contains(value, F.lit("(")), F.lit("phone"))
         .when(whole("[0-9]{3}-[0-9]{2}-[0-9]{4}"), ssn)
-        .when(whole("[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}"), F.when(_day(value).isNotNull(), F.lit("date")))
-        .otherwise(cards)
+        .when(whole("[0-9]{4}([./-])[0-9]{1,2}\\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\\2[0-9]{4}"), F.when(_day(value).day.isNotNull(), F.lit("date")))
+        .when(whole(CARD), cards)
+        .otherwise(F.lit("phone"))
     )
 
 
@@ -138,8 +167,13 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
         return let(out, lambda s: F.concat_ws(".", F.floor(s.a / 256).cast("string"), (s.a % 256).cast("string"), F.floor(s.b / 256).cast("string"), (s.b % 256).cast("string")))
 
     def date(v: Column) -> Column:
-        day = permute_date(_day(v), key + "date")
-        return F.when(v.rlike("^[0-9]{4}-"), F.date_format(day, "yyyy-MM-dd")).when(v.rlike(r"^[0-9]{2}\."), F.date_format(day, "dd.MM.yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
+        def of(f: Column) -> Column:
+            day = F.when(f.order == "late", permute_late_date(f.day, key + "date")).otherwise(permute_date(f.day, key + "date"))
+            shape = lambda d, full, short: F.when(f.short, F.date_format(d, short)).otherwise(F.date_format(d, full))
+            plain = let(day, lambda d: F.when(f.order == "ymd", shape(d, "yyyy-MM-dd", "yyyy-M-d")).when(f.order == "mdy", shape(d, "MM-dd-yyyy", "M-d-yyyy")).otherwise(shape(d, "dd-MM-yyyy", "d-M-yyyy")))
+            return F.replace(plain, F.lit("-"), F.regexp_extract(v, "[./-]", 0))
+
+        return let(_day(v), of)
 
     def mail(v: Column) -> Column:
         local = F.substring_index(v, "@", 1)

@@ -200,6 +200,34 @@ def test_pseudonyms(spark):
     assert "999.1.1.1 or 2024-02-30 or 4111111111111112" in out[0].text
 
 
+def test_pseudonym_forms(spark):
+    phones = ["(555) 123-4567", "555-123-4567", "555.123.4567", "1-800-555-0199", "+1 (476) 555-6291", "+44 20 7946 0958", "+14155552671", "+33 1 23 45 67 89", "+44 (0)20 7946 0958", "0044 20 7946 0958", "020 7946 0958"]
+    dates = ["2024-02-29", "31/12/1999", "12/31/1999", "1/2/2024", "2024-1-5", "1.2.2024", "31.12.1999", "31-12-1999", "2024/03/04"]
+    cards = ["4111 1111 1111 1111", "3782 822463 10005", "3782-822463-10005", "378282246310005"]
+    keep = ["2024-02-30", "31/13/1999", "3782 822463 10006", "10.20.2024.5", "12345678", "978-0-306-40615-7", "3.14159", "1,234,567"]
+    forms = [(k, x) for k, xs in (("phone", phones), ("date", dates), ("card", cards), (None, keep)) for x in xs]
+    rows = [(i, f"on {x}, 2 of") for i, (_, x) in enumerate(forms)]
+    rows.append((len(forms), "+49 30 123456 31.12.1999 and +49 30 123456 2024-02-29"))
+    out = {r.doc_id: r for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    found = {x: [(v.kind, rows[i][1][v.start : v.start + v.length]) for v in out[i]["values"]] for i, (_, x) in enumerate(forms)}
+    assert found == {x: [(k, x)] if k else [] for k, x in forms}
+    for i, (k, x) in enumerate(forms):
+        new = out[i].text[3 : len(out[i].text) - 6]
+        assert (new != x) == bool(k) and (k == "date" or re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", x))
+        if k == "date":
+            assert re.sub("[0-9]+", "0", new) == re.sub("[0-9]+", "0", x)
+    assert int(out[len(phones) + 1].text[3:5]) > 12
+    assert [v.kind for v in out[len(forms)]["values"]] == ["phone", "date", "phone", "date"]
+    assert pseudonyms.pseudonymise(spark.createDataFrame([(1, "room 12 555-123-4567")], "doc_id long, text string"), "k").first()["values"][0].start == 8
+
+
+def test_late_dates_are_permuted(spark):
+    days = spark.range(3000).select(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).alias("d")).where("dayofmonth(d) > 12")
+    rows = days.select(F.date_format("d", "dd/MM/yyyy").alias("text"), F.monotonically_increasing_id().alias("doc_id"))
+    new = [r.text for r in pseudonyms.pseudonymise(rows, "k").collect()]
+    assert len(set(new)) == len(new) and all(int(x[:2]) > 12 for x in new)
+
+
 def test_feistel_inverse(spark):
     rows = spark.range(2000).select(F.lpad(F.col("id").cast("string"), 7, "0").alias("d"), F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
     new = rows.select("d", "day", pseudonyms.permute_digits(F.col("d"), "k").alias("e"), pseudonyms.permute_date(F.col("day"), "k").alias("f"))
