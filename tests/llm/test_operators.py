@@ -245,6 +245,28 @@ def test_mixing(spark):
     assert domain_mixing.mix(docs.where("false"), labels).count() == 0
 
 
+def test_mixing_reaches_rare_domains(spark):
+    rng = np.random.default_rng(1)
+    n, shares = 4000, [0.01, 0.002, 0.30, 0.688]
+    of = rng.choice(4, n, p=shares)
+    p = np.exp(2.5 * np.eye(4)[of] + rng.normal(size=(n, 4)))
+    p /= p.sum(1, keepdims=True)
+    tokens = rng.integers(1, 2000, n)
+    table = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p)], "n_tokens long, posteriors array<double>")
+    for weights in ([0.05, 0.05, 0.20, 0.70], [0.02, 0.01, 0.17, 0.80]):
+        targets = np.array(weights) * tokens.sum()
+        w, left = domain_mixing.solve_rates(table, targets)
+        got = p.T @ (tokens * np.maximum(0, 1 - p @ w))
+        assert np.allclose(got - targets, left, atol=1e-3)
+        # No better rates: those above 0 gain nothing by a change, those at 0 nothing by growth.
+        gain = p @ left
+        assert (np.abs(gain[1 - p @ w > 1e-9]) < 1e-3 * tokens.sum()).all() and (gain > -1e-3 * tokens.sum()).all()
+        if weights[0] == 0.05:
+            assert np.abs(left).sum() <= 2e-4 * tokens.sum()
+    with pytest.raises(RuntimeError):
+        domain_mixing.solve_rates(table, np.array([0.05, 0.05, 0.20, 0.70]) * tokens.sum(), max_steps=1)
+
+
 def test_url_trust(spark):
     link = lambda *h: "".join(f'<a class="x" href="http://{x}/p">t</a>' for x in h)
     rows = [(1, "http://good.org/a", link("friend.net")), (2, "https://BAD.com/x/1?q", ""), (3, "http://farm.net/", link("bad.com")), (4, "http://friend.net/z#f", "<a href=/in>"), (5, None, None), (6, "no host", link("good.org"))]
