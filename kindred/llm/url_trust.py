@@ -5,7 +5,9 @@ edges from hosts with pages that rules allow; distrust is the same over the
 reversed edges, from hosts with pages that rules block, so it reaches the hosts
 that link to blocked ones. Seeds weigh as their number of pages. A host is
 blocked when its distrust exceeds ``ratio`` times its trust, and allowed
-otherwise; hosts that neither reaches are allowed.
+otherwise; hosts that neither reaches are allowed. Ranks, which sum to at most 1,
+are settled when a round reaches no new host and changes them by ``TOLERANCE`` at
+most in sum; more than ``ROUNDS`` rounds raise.
 
 Edges are summed by pair of hosts before anything else, so a hub costs a row for
 each neighbour. Ranks and edges are tables in the scratch folder.
@@ -27,7 +29,8 @@ from kindred.llm.scratch import Scratch
 
 MAX_RULES = 1000
 DAMPING = 0.85
-ROUNDS = 15
+ROUNDS = 1000
+TOLERANCE = 1e-9
 RATIO = 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
@@ -72,8 +75,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int
     ranks = scratch.save(base, "ranks")
     for _ in range(rounds):
         moved = ranks.join(edges, ranks.host == edges.src).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("rank"))
-        ranks = scratch.save(moved.unionByName(base).groupBy("host").agg(F.sum("rank").alias("rank")), "ranks")
-    return ranks
+        parts = moved.unionByName(base).select("host", "rank", F.lit(None).cast("double").alias("old")).union(ranks.select("host", F.lit(0.0), "rank"))
+        new = scratch.save(parts.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old")), "ranks")
+        state = new.agg(F.sum(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0)))).alias("change"), F.count_if(F.col("old").isNull()).alias("reached")).first()
+        scratch.drop(ranks)
+        ranks = new
+        if not state.reached and (state.change or 0.0) <= TOLERANCE:
+            break
+    else:
+        if rounds:
+            raise RuntimeError(f"ranks did not settle in {rounds} rounds")
+    return ranks.select("host", "rank")
 
 
 def host_verdicts(pages: DataFrame, rules: list[Rule], ratio: float = RATIO, rounds: int = ROUNDS) -> DataFrame:

@@ -275,3 +275,13 @@ def test_url_trust(spark):
     assert {i: r.verdict for i, r in got.items()} == {1: "allow", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
     assert (got[2].host, got[2].path, got[2].rule, got[5].host) == ("bad.com", "/x/1", "bad.com/x", "")
     assert got[4].trust == pytest.approx(0.15 * 0.85)
+
+
+def test_url_distrust_reaches_the_end_of_a_chain(spark):
+    rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">t</a>') for i in range(20)] + [(20, "http://h20.net/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_trust.judge_pages(pages, [url_trust.Rule("block", "h20.net", "/")]).collect()}
+    assert {r.verdict for r in got.values()} == {"block"}
+    assert got[0].distrust == pytest.approx(0.15 * 0.85**20)
+    with pytest.raises(RuntimeError):
+        url_trust.judge_pages(pages, [url_trust.Rule("block", "h20.net", "/")], rounds=5)
