@@ -137,9 +137,18 @@ def train(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("quali
     return fit(ids, table.column("domain").to_pylist())
 
 
+def _wanted(p: np.ndarray, barred: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors over the domains that are not barred, 0 for documents more likely of barred ones, and these documents."""
+    gone = p[:, barred].sum(1) > 0.5
+    if not barred.any():
+        return p, gone
+    left = np.where(barred | gone[:, None], 0.0, p)
+    return left / np.where(gone, 1.0, left.sum(1))[:, None], gone
+
+
 class _Posteriors:
-    def __init__(self, model: Classifier, names: list[str], slopes: np.ndarray | None = None):
-        self.model, self.names, self.slopes = model, names, slopes
+    def __init__(self, model: Classifier, names: list[str], barred: np.ndarray, slopes: np.ndarray | None = None, least: float = 0.0):
+        self.model, self.names, self.barred, self.slopes, self.least = model, names, barred, slopes, least
 
     @W.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +156,11 @@ class _Posteriors:
             for part, raw, offsets in W.chunks(batch, "text"):
                 ids, n = feature_ids(raw, offsets)
                 p = self.model.posteriors(ids)
-                rate = np.ones(len(n)) if self.slopes is None else np.maximum(0.0, 1 - p @ self.slopes)
+                wanted, gone = _wanted(p, self.barred)
+                if self.slopes is None:
+                    p, rate = wanted, np.ones(len(n))
+                else:
+                    rate = np.where(gone, 0.0, np.maximum(self.least, 1 - wanted @ self.slopes))
                 new = {"n_tokens": pa.array(n.astype(np.int64)), "posteriors": pa.array(list(p), pa.list_(pa.float64())), "rate": pa.array(rate)}
                 yield pa.RecordBatch.from_arrays([new[x] if x in new else part.column(x) for x in self.names], names=self.names)
 
@@ -214,29 +227,41 @@ def solve_rates(table: DataFrame, targets: np.ndarray, max_steps: int = STEPS) -
     return w, got - targets
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: tuple[str, ...] = ("doc_id",), whole: bool = False) -> DataFrame:
     """Columns ``keep`` with n_tokens, domains, posteriors, rate and copies.
 
     The target of a domain is its weight times the budget: all tokens of
     ``docs``, or more where the domain of the largest weight needs that to keep
     all it has. So documents of the wanted kind are not thinned out. ``copies`` is
     the rate, rounded up or down by a hash of the id with the right odds.
+
+    Domains with a weight of 0 in ``targets`` are barred: documents that are more
+    likely of them than of the others have rate 0, and the others are mixed by
+    their posteriors over the other domains. With ``whole``, the budget lets each
+    domain that is not barred keep all it has, and rates below 1 are raised to 1,
+    so each document that is not barred has a copy; totals then exceed the targets
+    by what was raised.
     """
+    targets = targets or TARGETS
     scratch = Scratch(docs.sparkSession, "mixing")
     model = train(docs, labels)
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("posteriors", T.ArrayType(T.DoubleType())), T.StructField("rate", T.DoubleType())]
     schema = T.StructType([*(docs.schema[c] for c in keep if c not in {a.name for a in added}), *added])
     base = [f.name for f in schema][: -len(added)]
     slim = T.StructType(added)
-    table = scratch.save(docs.select("text").mapInArrow(_Posteriors(model, slim.names), slim), "posteriors")
+    barred = np.array([targets.get(d) == 0 for d in model.domains])
+    table = scratch.save(docs.select("text").mapInArrow(_Posteriors(model, slim.names, barred), slim), "posteriors")
     present = domain_totals(table, len(model.domains))
-    weights = np.array([(targets or TARGETS).get(d, 0.0) for d in model.domains])
+    weights = np.array([targets.get(d, 0.0) for d in model.domains])
     if not weights.sum():
-        weights = np.ones(len(weights))
-    weights = weights / weights.sum()
-    budget = max(present.sum(), present[weights.argmax()] / weights.max())
+        weights = (~barred).astype(float)
+    weights = weights / max(weights.sum(), 1e-9)
+    if whole:
+        budget = max((present[weights > 0] / weights[weights > 0]).tolist(), default=0.0)
+    else:
+        budget = max(present.sum(), present[weights.argmax()] / max(weights.max(), 1e-9))
     slopes, _ = solve_rates(table, weights * budget)
-    final = _Posteriors(model, schema.names, slopes)
+    final = _Posteriors(model, schema.names, barred, slopes, float(whole))
     mixed = docs.select(*dict.fromkeys([*base, "text"])).mapInArrow(final, schema)
     chance = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     mixed = mixed.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))

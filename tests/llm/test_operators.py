@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from kindred.llm import chat_trees, decontaminate, domain_mixing, language_id, line_dedup, line_quality, ngram_join, pseudonyms, secret_scan, url_trust
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -267,6 +268,17 @@ def test_mixing_reaches_rare_domains(spark):
         domain_mixing.solve_rates(table, np.array([0.05, 0.05, 0.20, 0.70]) * tokens.sum(), max_steps=1)
 
 
+def test_pipeline_mixing_drops_toxic_documents_only(spark, tmp_path):
+    kinds = [("good words here ", 1, 0)] * 8 + [("poor stuff there ", 0, 0)] * 9 + [("vile slurs shout ", 1, 1), ("crude hate yell ", 0, 1), ("crude hate yell ", 0, 1)]
+    of = [kinds[i % 20] for i in range(400)]
+    docs = spark.createDataFrame([(i, k[0] * 8, "en", "s") for i, k in enumerate(of)], SCHEMA)
+    spark.createDataFrame([(i, k[1], k[2]) for i, k in enumerate(of) if i < 200], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = corpus_pipeline.mix_domains(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in rows) == [i for i, k in enumerate(of) if not k[2]] and min(r.copies for r in rows) >= 1
+    tokens = [sum(r.n_tokens * r.rate for r in rows if of[r.doc_id][1] == q) for q in (0, 1)]
+    assert tokens[0] / sum(tokens) == pytest.approx(0.17 / 0.97, abs=0.02)
+
+
 def test_url_trust(spark):
     link = lambda *h: "".join(f'<a class="x" href="http://{x}/p">t</a>' for x in h)
     rows = [(1, "http://good.org/a", link("friend.net")), (2, "https://BAD.com/x/1?q", ""), (3, "http://farm.net/", link("bad.com")), (4, "http://friend.net/z#f", "<a href=/in>"), (5, None, None), (6, "no host", link("good.org"))]
