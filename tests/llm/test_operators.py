@@ -79,14 +79,58 @@ def test_line_dedup(docs, none):
         for x in (t or "").split("\n"):
             if len(key(x)) >= 20:
                 holders[key(x)].add(i)
-    for entries in (10_000, 20):  # one batch; many batches and merged levels
-        for r in line_dedup.dedup_lines(df, batch_entries=entries, fan_in=2).collect():
+    for batches, fan_in in ((1, 2), (4, 3), (9, 2)):
+        for r in line_dedup.dedup_lines(df, batches=batches, fan_in=fan_in).collect():
             lines = (texts[r.doc_id] or "").split("\n")
             kept = [x for x in lines if len(holders[key(x)]) < 3 or max(holders[key(x)]) == r.doc_id]
             assert (r.n_lines, r.n_dropped, r.text) == (len(lines), len(lines) - len(kept), "\n".join(kept))
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_goes_through_runs(docs, monkeypatch):
+    """The registered parameters take several batches, anti-joins and a compaction on any table."""
+    df, _ = docs
+    stores, plans = [], []
+    add, write = line_dedup.LineRuns.add, line_dedup.LineRuns._write
+    monkeypatch.setattr(line_dedup.LineRuns, "add", lambda self, batch: (stores.append(self), add(self, batch))[1])
+    monkeypatch.setattr(line_dedup.LineRuns, "_write", lambda self, rows, level: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), write(self, rows, level))[1])
+    line_dedup.dedup_lines(df)
+    assert len({id(s) for s in stores}) == 1 and stores[0].batches == line_dedup.BATCHES and stores[0].compactions == 1
+    assert [len(x) for x in stores[0].levels] == [1, 1]
+    assert [p.count("SortMergeJoin") for p in plans] == [0, 1, 2, 0, 1]
+    assert all(p.count("Exchange hashpartitioning") == 1 for p in plans), "only the batch is shuffled, never a run that it is joined with"
+
+
+def test_line_store_first_batch_keeps(spark):
+    """The anti-join decides: a later batch with a larger id gets no keeper. The store opens again."""
+    root = line_dedup.Scratch(spark, "store").path("runs")
+    store = line_dedup.LineRuns(spark, root, buckets=3, fan_in=2)
+    rows = lambda *x: spark.createDataFrame([(bytes(h, "ascii"), n, top) for h, n, top in x], "h binary, n long, top long")
+    store.add(rows(("a", 1, 5), ("b", 2, 6)))
+    store.add(rows(("a", 1, 9), ("c", 1, 9)))
+    store = line_dedup.LineRuns.open(spark, root)
+    store.add(rows(("a", 1, 11), ("b", 1, 12), ("c", 4, 13)))
+    want = {b"a": (3, 5), b"b": (3, 6), b"c": (5, 9)}
+    assert {bytes(r.h): (r.n, r.keeper) for r in store.holders().collect()} == want
+    store.compact()
+    store = line_dedup.LineRuns.open(spark, root)
+    assert len(store.all()) == 1 and {bytes(r.h): (r.n, r.keeper) for r in store.holders().collect()} == want
+    line = "A line that is long enough to count"
+    docs = spark.createDataFrame([(i, f"{line}\nown {i}") for i in (1, 2)], "doc_id long, text string")
+    assert sum(r.n_dropped for r in line_dedup.dedup_lines(docs, store=store).collect()) == 0
+    more = spark.createDataFrame([(7, line)], "doc_id long, text string")
+    assert line_dedup.dedup_lines(more, store=store).first().n_dropped == 1
+
+
+def test_line_dedup_defined_cases(spark):
+    line = "A line that is long enough to count"
+    rows = [(1, line, "x"), (1, line, "x"), (None, line, "y"), (4, line + "\n" + "z" * 200_000, None), (5, None, "w"), (6, "", "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, drop string").selectExpr("*", "drop as row", "1 as n_lines", "drop as lost_id", "drop as text_hash", "drop as h")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "drop", "row", "lost_id", "text_hash", "h", "n_lines", "n_dropped"]
+    assert sorted((str(r.doc_id), r.drop, r.n_lines, r.n_dropped, len(r.text)) for r in out.collect()) == [("1", "x", 1, 1, 0)] * 2 + [("4", None, 2, 0, 200_036), ("5", "w", 1, 0, 0), ("6", "v", 1, 0, 0), ("None", "y", 1, 1, 0)]
+
+
 def test_decontamination(spark, docs, none):
     df, texts = docs
     items = [(1, texts[6]), (10, "own 3 another"), (2, None), (3, "Two"), (None, "no such thing at all")]
