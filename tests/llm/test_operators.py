@@ -63,12 +63,46 @@ def test_ngram_join(docs, none):
     assert ngram_join.keep_one_of_each(df).columns == df.columns
 
 
-def test_ngram_blocks_find_all_links(docs, monkeypatch):
-    df, _ = docs
-    want = {tuple(r) for r in ngram_join.similar_components(df).select("doc_id", "component_id").collect()}
-    monkeypatch.setattr(ngram_join, "HOT", 1)
-    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 2)
-    assert want == {tuple(r) for r in ngram_join.similar_components(df).select("doc_id", "component_id").collect()}
+@pytest.mark.parametrize("settings", [{"OUTSIDE": 10**6}, {"LEAST_CELL": 2, "OUTSIDE": 0, "BLOCK_MEMBERS": 3}])
+def test_ngram_join_finds_all_links_by_each_way(spark, monkeypatch, settings):
+    """Chains of near copies that no single pivot reaches, and lists in several cells."""
+    rng = random.Random(9)
+    vocab = [f"v{i}" for i in range(400)]
+    texts = []
+    for _ in range(3):
+        w = [rng.choice(vocab) for _ in range(80)]
+        for _ in range(25):
+            w = list(w)
+            w[rng.randrange(80)] = rng.choice(vocab)
+            texts.append(" ".join(w))
+    sets = [{tuple(t.split()[j : j + 4]) for j in range(77)} for t in texts]
+    group = list(range(len(texts)))
+    links = [(i, j) for j in range(len(texts)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    for i, j in links:
+        group = [group[i] if g == group[j] else g for g in group]
+    want = {i: min(k for k, g in enumerate(group) if g == group[i]) for i in range(len(texts))}
+    for k, v in settings.items():
+        monkeypatch.setattr(ngram_join, k, v)
+    join = ngram_join.Join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).run()
+    assert {r.doc_id: r.component_id for r in join.documents().collect()} == want
+    # No pair was verified with fewer matches than min(L1, L2), nor twice.
+    blob = {r.row: np.frombuffer(r.blob, dtype=np.uint64) for r in join.sets.select("row", "blob").collect()}
+    pairs = [(r.a, r.b) for t in join.tested for r in t.collect()]
+    assert len(pairs) == len(set(pairs))
+    for a, b in pairs:
+        p, q = (join.prefixes.prefix(blob[x]) for x in (a, b))
+        least = min(p[3], q[3])
+        assert len(np.intersect1d(p[0][p[2] <= least], q[0][q[2] <= least])) >= least
+
+
+def test_keep_one_of_each_row(spark):
+    t, u = "one two three four five six seven", "other words that are not like those"
+    rows = [(5, t, 1), (5, t, 2), (7, t, 3), (None, t, 4), (5, u, 5), (None, u, 6), (None, "", 7), (None, None, 8), (9, "", 9), (9, "", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id long").selectExpr("*", "id as last", "id as text_hash", "id as row", "id as __keep")
+    out = ngram_join.keep_one_of_each(df)
+    got = sorted((r.doc_id or 0, r.text or "", r.id) for r in out.collect())
+    assert out.columns == df.columns and [x[2] for x in got if not x[1]] == [7, 8, 9, 10]
+    assert [x[:2] for x in got if x[1]] == [(5, t), (5, u)] or [x[:2] for x in got if x[1]] == [(5, u), (5, t)]
 
 
 def test_line_dedup(docs, none):
