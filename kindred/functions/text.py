@@ -89,18 +89,56 @@ def split_featured(artist: Column) -> Column:
     return F.struct(F.when(found.isNull(), strip(artist)).otherwise(head).alias("primary"), F.when(found.isNull(), none).otherwise(names).alias("featured"))
 
 
-def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: a row of the table for each character of ``a``."""
-    left, right = F.split(a, ""), F.split(b, "")
+#: Places of the shorter text that fit in the bits of a long, with room for a carry.
+WORD_BITS = 62
+
 
-    def row(before: Column, ch: Column) -> Column:
-        def cell(now: Column, j: Column) -> Column:
-            return F.concat(now, F.array(F.when(F.get(right, j) == ch, F.get(before, j) + 1).otherwise(F.greatest(F.get(before, j + 1), F.element_at(now, -1)))))
+@F.pandas_udf(T.LongType())
+def _long_common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
+    def one(x: str | None, y: str | None) -> int | None:
+        if x is None or y is None:
+            return None
+        at: dict[str, int] = {}
+        for i, ch in enumerate(x):
+            at[ch] = at.get(ch, 0) | 1 << i
+        full = free = (1 << len(x)) - 1
+        for ch in y:
+            hit = free & at.get(ch, 0)
+            free = (free + hit | free - hit) & full
+        return len(x) - free.bit_count()
 
-        return F.aggregate(F.sequence(F.lit(0), F.length(b) - 1), F.array(F.lit(0)), cell)
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
 
-    start = F.array_repeat(F.lit(0), F.length(b) + 1)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(F.element_at(F.aggregate(left, start, row), -1))
+
+def common_subsequence(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence, with a bit for each place of the shorter text.
+
+    A bit is cleared where a subsequence grows, for all places of the shorter text
+    at once, so the work is one step a character of the longer one. Only pairs
+    whose shorter text is longer than a word has bits go to Python, where integers
+    have any length.
+    """
+
+    def bits(short: Column, other: Column) -> Column:
+        chars = F.split(short, "")
+        bit = F.transform(chars, lambda c, i: F.struct(c.alias("c"), F.call_function("shiftleft", F.lit(1).cast("long"), i).alias("bit")))
+        none = F.lit(0).cast("long")
+        masks = F.transform(F.array_distinct(chars), lambda c: F.struct(c.alias("c"), F.aggregate(bit, none, lambda s, x: s + F.when(x.c == c, x.bit).otherwise(none)).alias("bits")))
+        full = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(short)) - 1
+
+        def of(m: Column) -> Column:
+            def step(free: Column, ch: Column) -> Column:
+                hit = F.coalesce(F.element_at(m.at, ch), none).bitwiseAND(free)
+                return F.get(F.transform(F.array(hit), lambda h: (free + h).bitwiseOR(free - h).bitwiseAND(m.full)), 0)
+
+            return F.length(short) - F.bit_count(F.aggregate(F.split(other, ""), m.full, step))
+
+        return F.get(F.transform(F.array(F.struct(F.map_from_entries(masks).alias("at"), full.alias("full"))), of), 0)
+
+    short, other = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    fits = F.length(short) <= WORD_BITS
+    beyond = _long_common_subsequence(F.when(~fits, short), F.when(~fits, other))
+    return F.when(F.length(short) == 0, 0).when(fits, bits(short, other)).otherwise(beyond.cast("int"))
 
 
 def indel_ratio(a: Column, b: Column) -> Column:

@@ -33,11 +33,10 @@ def title_ratios(pairs: DataFrame, threshold: float = 0.0) -> DataFrame:
 
 
 def candidate_pairs(records: DataFrame, threshold: float = 85.0) -> DataFrame:
-    """Same artist, different titles that are alike."""
-    pairs = _artist_pairs(records)
-    alike = title_ratios(pairs, threshold)
-    keyed = pairs.where("l_title <> r_title").select("l_file_id", "r_file_id", F.least("l_title", "r_title").alias("a"), F.greatest("l_title", "r_title").alias("b"))
-    return keyed.join(alike, ["a", "b"]).select(F.col("l_file_id").alias("left_id"), F.col("r_file_id").alias("right_id"), "ratio")
+    """Same artist, different titles that are alike; judged where the pair is made, without a shuffle of its own."""
+    l, r = F.col("l_title"), F.col("r_title")
+    pairs = _artist_pairs(records).where((l != r) & (text.highest_ratio(l, r) >= threshold))
+    return pairs.select(F.col("l_file_id").alias("left_id"), F.col("r_file_id").alias("right_id"), text.indel_ratio(l, r).alias("ratio")).where(F.col("ratio") >= threshold)
 
 
 def best_tier(records: DataFrame) -> DataFrame:
