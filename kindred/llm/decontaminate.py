@@ -10,12 +10,13 @@ hashes of all words first and then the words themselves.
 Defined cases: a null or empty text has no words and no hits. An item whose
 text has no words has no windows. An item with a null id counts and is named
 by the empty string; items that share an id count once. Rows that repeat are
-each judged. Input columns that have the name of an output column are replaced.
-An empty benchmark marks nothing.
+each judged. A text of any length is searched whole, in one task. Input columns
+that have the name of an output column are replaced, all others pass through. An
+empty benchmark marks nothing, and an empty table gives no rows.
 
 Benchmark texts are compiled into searchers of at most ``pass_bytes`` each and
-shipped with the tasks; a larger benchmark takes several passes over the rows,
-in one plan without a shuffle.
+shipped with the tasks, without a shuffle. A larger benchmark takes several passes
+over the rows; what a pass has found is written before the next begins.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm import words as W
+from kindred.llm.exprs import named, packed, unpacked
+from kindred.llm.scratch import Scratch
 
 WINDOW = 10
 PASS_BYTES = 16 << 20
@@ -43,9 +46,11 @@ class Searcher:
         self.texts = sorted(windows)
         self.items = [windows[t] for t in self.texts]
         self.rows = np.array([hashes[t] for t in self.texts], dtype=np.uint64).reshape(-1, m)
-        self.mask = np.uint64((1 << SHIFT_BITS) - 1)
         most = m - self.block + 1
-        self.shift = np.full(1 << SHIFT_BITS, most, dtype=np.int64)
+        # About eight entries of the table for each block of a window.
+        bits = min(SHIFT_BITS, max(10, (8 * most * len(self.texts)).bit_length()))
+        self.mask = np.uint64((1 << bits) - 1)
+        self.shift = np.full(1 << bits, most, dtype=np.min_scalar_type(-most))
         for j in range(most):
             keys = self._keys(self.rows, np.full(len(self.rows), j + self.block - 1))
             np.minimum.at(self.shift, keys, most - 1 - j)
@@ -138,8 +143,8 @@ def scan(batches: Iterator[pa.RecordBatch], searchers: list[Searcher], names: li
             def text(i: int, j: int) -> bytes:
                 return b" ".join([low[s:e] for s, e in zip(starts[i:j].tolist(), ends[i:j].tolist(), strict=True)])  # noqa: B023
 
-            ranges: list[list[int]] = [list(x) for x in part.column("__ranges").to_pylist()]
-            items: list[list[str]] = [list(x) for x in part.column("__items").to_pylist()]
+            ranges: list[list[int]] = [list(x) for x in part.column("ranges").to_pylist()]
+            items: list[set[str]] = [set(x) for x in part.column("items").to_pylist()]
             for s in searchers:
                 at, which = s.find(w, words.first, text)
                 order = np.argsort(at, kind="stable")
@@ -151,11 +156,11 @@ def scan(batches: Iterator[pa.RecordBatch], searchers: list[Searcher], names: li
                         r[-1] = max(r[-1], begin + s.m)
                     else:
                         r += (begin, begin + s.m)
-                    items[d] += (names[i] for i in s.items[which[k]])
+                    items[d].update(names[i] for i in s.items[which[k]])
             new = {
-                "__n_words": pa.array(np.diff(words.first), pa.int64()),
-                "__ranges": pa.array(ranges, pa.list_(pa.int64())),
-                "__items": pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())),
+                "n": pa.array(np.diff(words.first), pa.int64()),
+                "ranges": pa.array(ranges, pa.list_(pa.int64())),
+                "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
             }
             assert n == len(ranges)
             yield pa.RecordBatch.from_arrays([new.get(f.name, part.column(i)) for i, f in enumerate(part.schema)], schema=schema)
@@ -175,22 +180,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.col("text").cast("binary").alias("text"))
     total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-int(total) // pass_bytes))
-    added = [T.StructField("__n_words", T.LongType()), T.StructField("__ranges", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))]
-    now = docs.withColumns({"__n_words": F.lit(0).cast("long"), "__ranges": F.array().cast("array<bigint>"), "__items": F.array().cast("array<string>")})
+    now = packed(docs, ("text",), text=F.col("text"), n=F.lit(0).cast("long"), ranges=F.array().cast("array<bigint>"), items=F.array().cast("array<string>"))
+    scratch, before = Scratch(docs.sparkSession, "decontaminate"), None
     for k in range(passes):
         rows = bench.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == k).collect()
         searchers, names = compile_windows([(r.id, bytes(r.text) if r.text is not None else None) for r in rows], window)
-        schema = T.StructType([*(f for f in now.schema if f.name not in {a.name for a in added}), *added])
-        now = now.select(*schema.names)
-        now = now.mapInArrow(_Scan(searchers, names), schema)
+        now = now.mapInArrow(_Scan(searchers, names), now.schema)
+        if k < passes - 1:  # so that a task never holds the searchers of two passes
+            now = scratch.save(now, "pass")
+            if before is not None:
+                scratch.drop(before)
+            before = now
     hit = F.aggregate(
-        F.array_sort(F.transform(F.sequence(F.lit(0), (F.size("__ranges") / 2).cast("int") - 1), lambda i: F.struct(F.get("__ranges", 2 * i).alias("b"), F.get("__ranges", 2 * i + 1).alias("e")))),
+        F.array_sort(F.transform(F.sequence(F.lit(0), (F.size("ranges") / 2).cast("int") - 1), lambda i: F.struct(F.get("ranges", 2 * i).alias("b"), F.get("ranges", 2 * i + 1).alias("e")))),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("last")),
         lambda a, r: F.struct((a.n + F.greatest(F.lit(0).cast("long"), r.e - F.greatest(r.b, a["last"]))).alias("n"), F.greatest(a["last"], r.e).alias("last")),
         lambda a: a.n,
     )
-    found = now.withColumns({"n_words": F.col("__n_words"), "n_hit": F.when(F.size("__ranges") > 0, hit).otherwise(F.lit(0).cast("long")), "n_items": F.size("__items").cast("long"), "item_ids": F.array_sort("__items")})
-    return found.withColumn("contaminated", F.col("n_hit") > 0).drop("__n_words", "__ranges", "__items")
+    now = now.withColumn("hit", F.when(F.size("ranges") > 0, hit).otherwise(F.lit(0).cast("long")))
+    return unpacked(now, docs.columns, {"text": F.col("text"), "n_words": F.col("n"), "n_hit": F.col("hit"), "n_items": F.size("items").cast("long"), "item_ids": F.array_sort("items"), "contaminated": F.col("hit") > 0})
 
 
 class _Scan:
@@ -205,4 +213,4 @@ class _Scan:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without any hit, with the columns of ``docs``."""
-    return find_contamination(docs, benchmark, window).where("not contaminated").select(*docs.columns)
+    return find_contamination(docs, benchmark, window).where("not contaminated").select(*named(docs.columns))

@@ -11,8 +11,10 @@ language's share, times how sure the words are of it.
 
 Defined cases: a null text, or one without a letter, has language ``und``, score
 0 and no spans. Training rows with null text or language are left out; without
-any training rows all texts are ``und``. Repeated rows count repeatedly. Columns
-of the input that have the name of an output column are replaced.
+any training rows all texts are ``und``. Of equally likely languages the first by
+name is taken. A text of any length is read whole, in one task. Repeated rows count
+repeatedly, and are each labelled. An empty table gives no rows. Columns of the
+input that have the name of an output column are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -27,11 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm import words as W
+from kindred.llm.exprs import named, packed, unpacked
 
 #: Most rows that a model is trained on; of more rows, those of the lowest hash are taken.
 TRAIN_ROWS = 20_000
-#: Most languages in a model.
-MAX_LANGUAGES = 64
 SWITCH_PENALTY = 6.0
 FLOOR = -6.0
 BUCKETS = 1 << 16
@@ -142,8 +143,6 @@ def train(docs: DataFrame, max_rows: int = TRAIN_ROWS) -> Model:
     langs = np.array(counts.column("lang").to_pylist(), dtype=object)
     k, n = counts.column("k").to_numpy(), counts.column("n").to_numpy()
     names = sorted(set(langs.tolist()))
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; a model has at most {MAX_LANGUAGES}")
     table = np.zeros((2 * BUCKETS + N_SCRIPTS, max(1, len(names))))
     for i, name in enumerate(names):
         mine = langs == name
@@ -168,11 +167,12 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     n = np.diff(first)
     order = np.argsort(-n, kind="stable")
     n, at = n[order], first[:-1][order]
-    labels = np.zeros(len(scores), dtype=np.int8)
+    labels = np.zeros(len(scores), dtype=np.int16)
     if not len(scores):
         return labels
-    back = np.zeros(scores.shape, dtype=np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    kind = np.min_scalar_type(scores.shape[1])
+    back = np.zeros(scores.shape, dtype=kind)
+    own = np.arange(scores.shape[1], dtype=kind)
     alive = np.searchsorted(-n, -np.arange(n[0] + 1), side="left")  # texts of more than t words
     v = scores[at[: alive[0]]].astype(np.float64)
     ends: list[tuple[int, int, np.ndarray]] = []
@@ -185,7 +185,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
         jump = v[np.arange(m), best] - penalty
         move = jump[:, None] > v
         rows = at[:m] + t
-        back[rows] = np.where(move, best[:, None].astype(np.int8), own)
+        back[rows] = np.where(move, best[:, None].astype(kind), own)
         v = np.where(move, jump[:, None], v) + scores[rows]
     ends.append((0, len(v), v.argmax(1)))
     now = np.zeros(int(alive[0]), dtype=np.int64)
@@ -288,11 +288,11 @@ class _Label:
 
 def label_languages(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
     """``docs`` with lang_pred, score and spans (start, end in code points, and language)."""
+    now = packed(docs, ("text",), text=F.col("text"))
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(SPAN))]
-    old = [f for f in docs.schema if f.name not in {a.name for a in added}]
-    schema = T.StructType([*old, *added])
-    now = docs.select(*(f.name for f in old))
-    return now.mapInArrow(_Label(model, penalty, schema.names), schema)
+    schema = T.StructType([*now.schema, *added])
+    out = now.mapInArrow(_Label(model, penalty, schema.names), schema)
+    return unpacked(out, docs.columns, {n: F.col(n) for n in ("text", "lang_pred", "score", "spans")})
 
 
 def held_out() -> F.Column:
@@ -301,6 +301,8 @@ def held_out() -> F.Column:
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """The rows that have a language, with the columns of ``docs``."""
+    """The rows that have a language, with the columns of ``docs``; all rows where no language could be learned."""
     model = train(docs.where(~held_out()))
-    return label_languages(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    if not model.languages:
+        return docs
+    return label_languages(docs, model).where("lang_pred <> 'und'").select(*named(docs.columns))

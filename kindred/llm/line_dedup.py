@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.llm import words as W
+from kindred.llm.exprs import named
 from kindred.llm.scratch import Scratch, hadoop_path, join_split
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -243,7 +244,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches
             fs.delete(p, True)
             spark.sql(f"DROP TABLE IF EXISTS {store._names[r]}")
     names = [n for n in docs.columns if n not in ("text", "n_lines", "n_dropped")]
-    mine = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64("text").alias("text_hash"))
+    mine = docs.select(F.struct(*named(names)).alias("row"), F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64("text").alias("text_hash"))
     joined = mine.join(lost, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("text_hash") == F.col("lost_hash")), "left").select("row", "text", "drop")
     schema = T.StructType([joined.schema["row"], T.StructField("text", T.BinaryType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     kept = joined.mapInArrow(_Keep(), schema)

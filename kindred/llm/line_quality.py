@@ -12,8 +12,10 @@ All expressions are built-in; each document is judged in its row, without a
 shuffle.
 
 Defined cases: a null or empty text has no words, fails and keeps no text. Blank
-lines are removed without counting as lost. Columns of the input that have the
-name of an output column are replaced. Repeated rows are each judged.
+lines are removed without counting as lost. A text of any length is judged whole,
+in one task. Equal lines are judged alike; repeated rows are each judged. An empty
+table gives no rows. Columns of the input that have the name of an output column
+are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.exprs import BLANKS, let, strip, words
+from kindred.llm.exprs import BLANKS, let, packed, strip, unpacked, words
 
 LEAST_WORDS = 10
 MOST_REPEATED = 20
@@ -72,7 +74,7 @@ def repeated_words(w: Column, size: int = 5) -> Column:
 def bad_line(line: Column) -> Column:
     """Whether a line with a word fails a rule."""
     chars = without_blanks(line)
-    n_words = F.size(F.split(strip(line), " "))
+    n_words = F.size(words(line))
     symbols = count_of(line, SYMBOLS) * 10 > chars
     menu = (count_of(line, "|•»›") * 4 >= n_words) & (count_of(line, "|•»›") >= 2)
     notice = (F.length(line) <= SHORT_LINE) & F.lower(line).rlike(BOILERPLATE)
@@ -85,16 +87,16 @@ def clean_lines(docs: DataFrame, least_words: int = LEAST_WORDS, most_repeated:
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: strip(x) != "")
     good = F.filter(lines, lambda x: ~bad_line(x))
-    measured = docs.withColumns(
-        {
-            "__stats": let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))),
-            "__dup": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
-            "clean_text": F.array_join(good, "\n"),
-            "word_chars": without_blanks(text).cast("long"),
-            "n_symbols": count_of(text, SYMBOLS).cast("long"),
-        }
-    )
-    out = measured.withColumns({"n_words": F.col("__stats.n_words"), "n_dup_lines": F.col("__dup").cast("long"), "n_repeat_words": F.col("__stats.n_repeat_words")}).drop("__stats", "__dup")
+    measured = packed(
+        docs,
+        stats=let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))),
+        n_dup_lines=let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        clean_text=F.array_join(good, "\n"),
+        word_chars=without_blanks(text).cast("long"),
+        n_symbols=count_of(text, SYMBOLS).cast("long"),
+    ).select("*", "stats.*")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    left = without_blanks(F.col("clean_text"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (100 * left >= (100 - most_lost) * F.col("word_chars")))
+    measured = measured.withColumn("base_failed", failed)
+    kept = ~F.col("base_failed") & (100 * without_blanks(F.col("clean_text")) >= (100 - most_lost) * F.col("word_chars"))
+    measures = ["clean_text", "word_chars", "n_symbols", "n_words", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return unpacked(measured, docs.columns, {**{n: F.col(n) for n in measures}, "kept": kept})

@@ -5,8 +5,11 @@ their own format: card numbers keep length and a valid check digit, telephone
 and social security numbers their punctuation, IP addresses their four octets,
 dates their notation and stay dates. The permutation depends on the key and the
 kind alone, so equal values have equal pseudonyms in all documents and different
-values different ones. Mail addresses are named by a keyed digest of their local
-part, of its length. Everything is a built-in expression over the row.
+values different ones. Telephone and social security numbers are permuted again
+until the result is one by the same check, so they are permuted among themselves;
+a number written in two notations may so get two pseudonyms. Mail addresses are
+named by 32 digits of a keyed digest, whatever their length. Everything is a
+built-in expression over the row.
 
 Telephone numbers are those with an area code in brackets, three groups of 3, 3
 and 4 digits, ``+`` and 7 to 15 digits, ``00`` and such groups, or a leading 0 and
@@ -22,9 +25,10 @@ that part; parts are the two halves of a digit string, or of any domain of a * b
 values. Dates are permuted within 73000 = 250 * 292 days from 1900-01-01.
 
 Defined cases: null text stays null and has no values; values that fail their
-check (check digit, octets, calendar, area numbers) stay as they are. Repeated
-rows are treated alike. Columns of the input that have the name of an output
-column are replaced.
+check (check digit, octets, calendar, area numbers) stay as they are. A text of
+any length is searched whole, in one task. Equal values and repeated rows are
+treated alike. An empty table gives no rows. The input column text, and one named
+values, are replaced; all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,12 +36,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.exprs import let
+from kindred.llm.exprs import let, packed, unpacked
 
 ROUNDS = 8
 EPOCH, DAY_PARTS = "1900-01-01", (250, 292)
 #: Two days in five are not after the 12th: 0.4 ** 64 is about 3e-26.
 LATE_ROUNDS = 64
+#: One number in nine, and at most one telephone number in two, is no value of its kind: 0.5 ** 96 is about 1e-29.
+WALK_ROUNDS = 96
 
 MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"
@@ -51,6 +57,8 @@ PHONE = "|".join(
     ]
 )
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+#: Numbers that are never issued.
+BARRED_SSN = "^(000|666|9)|-00-|-0000$"
 DATE = "|".join(rf"(?<![0-9{c}])(?:[0-9]{{4}}{d}[0-9]{{1,2}}{d}[0-9]{{1,2}}|[0-9]{{1,2}}{d}[0-9]{{1,2}}{d}[0-9]{{4}}){after}" for c, d, after in (("-", "-", "(?![0-9-])"), (".", r"\.", "(?![0-9])"), ("/", "/", "(?![0-9])")))
 CARD = r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9])[0-9]{4}([ -])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{6}\1[0-9]{4,5})(?![0-9])"
 ANY = "|".join([MAIL, IP, SSN, DATE, CARD, PHONE])
@@ -150,7 +158,7 @@ def kind_of(value: Column) -> Column:
     whole = lambda p: value.rlike(f"^(?:{p})$")
     cards = F.when(let(digits_of(value), lambda d: luhn_sum(d) % 10 == 0), F.lit("card"))
     ips = F.when(F.forall(_octets(value), lambda x: x <= 255), F.lit("ip"))
-    ssn = F.when(~value.rlike("^(000|666|9)|-00-|-0000$"), F.lit("ssn"))
+    ssn = F.when(~value.rlike(BARRED_SSN), F.lit("ssn"))
     return (
         F.when(F.contains(value, F.lit("@")), F.lit("mail"))
         .when(whole(r"[0-9]{1,3}(\.[0-9]{1,3}){3}"), ips)
@@ -161,6 +169,11 @@ def kind_of(value: Column) -> Column:
     )
 
 
+def _is(value: Column, kind: Column) -> Column:
+    ssn = value.rlike(f"^(?:{SSN})$") & ~value.rlike(BARRED_SSN)
+    return F.when(kind == "ssn", ssn).otherwise(value.rlike(f"^(?:{PHONE})$"))
+
+
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
     def ip(v: Column) -> Column:
         out = let(_octets(v), lambda o: feistel(F.get(o, F.lit(0)) * 256 + F.get(o, F.lit(1)), F.get(o, F.lit(2)) * 256 + F.get(o, F.lit(3)), F.lit(65536).cast("long"), F.lit(65536).cast("long"), key + "ip"))
@@ -176,28 +189,38 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
         return let(_day(v), of)
 
     def mail(v: Column) -> Column:
-        local = F.substring_index(v, "@", 1)
-        return F.concat(F.substring(F.sha2(F.concat(F.lit(key + "mail"), F.lower(v)), 256), F.lit(1), F.least(F.length(local), F.lit(32))), F.lit("@"), F.substring_index(v, "@", -1))
+        return F.concat(F.substring(F.sha2(F.concat(F.lit(key + "mail"), F.lower(v)), 256), 1, 32), F.lit("@"), F.substring_index(v, "@", -1))
+
+    def number(v: Column) -> Column:
+        """Permuted until the result is a value of the same kind, so that valid values are permuted among themselves."""
+        step = lambda x: into_format(x, permute_digits(digits_of(x), key + "number"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK_ROUNDS)), step(v), lambda x, _: F.when(_is(x, kind), x).otherwise(step(x)))
 
     return (
         F.when(kind == "card", into_format(value, permute_card(digits_of(value), key + "card")))
         .when(kind == "ip", ip(value))
         .when(kind == "date", date(value))
         .when(kind == "mail", mail(value))
-        .when(kind.isNotNull(), into_format(value, permute_digits(digits_of(value), key + "number")))
+        .when(kind.isNotNull(), number(value))
         .otherwise(value)
     )
 
 
+def original_number(value: Column, kind: Column, key: str) -> Column:
+    """The social security or telephone number that has this pseudonym."""
+    step = lambda x: into_format(x, permute_digits(digits_of(x), key + "number", inverse=True))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK_ROUNDS)), step(value), lambda x, _: F.when(_is(x, kind), x).otherwise(step(x)))
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with replaced values in ``text``, and values: start (code points in the old text), length, kind and pseudonym."""
     text = F.coalesce("text", F.lit(""))
-    found = docs.withColumn("__match", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    named = F.transform("__match", lambda v: let(kind_of(v), lambda k: F.struct(k.alias("kind"), v.alias("old"), pseudonym(v, k, key).alias("new"))))
-    found = found.withColumn("__named", F.when(F.size("__match") > 0, named).otherwise(F.array().cast("array<struct<kind:string,old:string,new:string>>")))
-    found = found.withColumn("__parts", F.when(F.size("__match") > 0, F.split("text", ANY, -1)).otherwise(F.array(text)))
+    found = packed(docs, text=F.col("text"), match=F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    named = F.transform("match", lambda v: let(kind_of(v), lambda k: F.struct(k.alias("kind"), v.alias("old"), pseudonym(v, k, key).alias("new"))))
+    found = found.withColumn("named", F.when(F.size("match") > 0, named).otherwise(F.array().cast("array<struct<kind:string,old:string,new:string>>")))
+    found = found.withColumn("parts", F.when(F.size("match") > 0, F.split("text", ANY, -1)).otherwise(F.array(text)))
     placed = F.aggregate(
-        F.arrays_zip(F.col("__parts").alias("part"), F.col("__named").alias("value")),
+        F.arrays_zip(F.col("parts").alias("part"), F.col("named").alias("value")),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int,kind:string,pseudonym:string>>").alias("values")),
         lambda s, x: F.struct(
             (s.at + F.length(x.part) + F.coalesce(F.length(x.value.old), F.lit(0))).alias("at"),
@@ -205,7 +228,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
         ),
         lambda s: s["values"],
     )
-    joined = F.array_join(F.flatten(F.zip_with("__parts", "__named", lambda p, v: F.array(p, F.coalesce(v.new, F.lit(""))))), "")
-    new_text = F.when(F.col("text").isNull(), F.lit(None).cast("string")).when(F.size("__match") > 0, joined).otherwise(F.col("text"))
-    out = found.withColumn("values", F.when(F.size("__match") > 0, placed).otherwise(F.array().cast("array<struct<start:int,length:int,kind:string,pseudonym:string>>")))
-    return out.withColumn("text", new_text).drop("__match", "__named", "__parts")
+    joined = F.array_join(F.flatten(F.zip_with("parts", "named", lambda p, v: F.array(p, F.coalesce(v.new, F.lit(""))))), "")
+    new_text = F.when(F.col("text").isNull(), F.lit(None).cast("string")).when(F.size("match") > 0, joined).otherwise(F.col("text"))
+    values = F.when(F.size("match") > 0, placed).otherwise(F.array().cast("array<struct<start:int,length:int,kind:string,pseudonym:string>>"))
+    return unpacked(found, docs.columns, {"text": new_text, "values": values})

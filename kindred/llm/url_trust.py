@@ -3,35 +3,48 @@
 Links in pages make edges between hosts. Trust is personalised PageRank over the
 edges from hosts with pages that rules allow; distrust is the same over the
 reversed edges, from hosts with pages that rules block, so it reaches the hosts
-that link to blocked ones. Seeds weigh as their number of pages. A host is
-blocked when its distrust exceeds ``ratio`` times its trust, and allowed
-otherwise; hosts that neither reaches are allowed. Ranks, which sum to at most 1,
-are settled when a round reaches no new host and changes them by ``TOLERANCE`` at
-most in sum; more than ``ROUNDS`` rounds raise.
-
-Edges are summed by pair of hosts before anything else, so a hub costs a row for
-each neighbour. Ranks and edges are tables in the scratch folder.
+that link to blocked ones. Seeds weigh as their number of pages, and the seeds of
+each side sum to 1, so a few block seeds weigh as much as all allow seeds
+together; ``ratio`` shifts this balance. A host is blocked when its distrust
+exceeds ``ratio`` times its trust, and allowed otherwise; hosts that neither
+reaches are allowed. Ranks, which sum to at most 1, are settled when a round
+reaches no new host and changes them by ``TOLERANCE`` at most in sum; more than
+``ROUNDS`` rounds raise.
+
+Rules, a list or a table of any length, are joined with the distinct hosts and
+their parent domains. Each host then has its own few rules, the longest first, and
+a page is judged in its row. Pages join with hosts by ``join_split``, so a host of
+very many pages fills no task. Edges are summed by pair of hosts before anything
+else, so a hub costs a row for each neighbour. Ranks and edges are tables in the
+scratch folder.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and
 no part in the graph; without a fitting rule it is allowed. Null html has no
 links. Links without a host stay on their page's host and make no edge. Repeated
-pages count repeatedly. The rules are a list of at most ``MAX_RULES``.
+pages count repeatedly. Rules that fit are ranked by length, then by length of
+their host; of two for the same host and path one counts, a block before an allow.
+Rules with a null part fit nothing, and an empty host fits pages without one. An
+empty table gives no rows. Pages of any length are searched whole for links.
+Columns other than page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.scratch import Scratch
+from kindred.llm.scratch import Scratch, join_split
 
-MAX_RULES = 1000
 DAMPING = 0.85
 ROUNDS = 1000
 TOLERANCE = 1e-9
 RATIO = 1.0
+#: Rules up to this many are broadcast; more are joined by shuffle.
+BROADCAST_RULES = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
@@ -51,15 +64,34 @@ def path_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1)).otherwise(F.lit(""))
 
 
-def matching_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """The longest rule, as a struct of name and verdict, or null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES}")
-    out = F.lit(None).cast("struct<name:string,verdict:string>")
-    for r in sorted(rules, key=lambda r: len(r.host) + len(r.path)):
-        fits = ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path))
-        out = F.when(fits, F.struct(F.lit(r.host + r.path).alias("name"), F.lit(r.verdict).alias("verdict"))).otherwise(out)
-    return out
+def rules_table(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """verdict, host and path of each rule."""
+    if isinstance(rules, DataFrame):
+        return rules.select("verdict", "host", "path")
+    text = json.dumps([{"verdict": r.verdict, "host": r.host, "path": r.path} for r in rules])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<verdict:string,host:string,path:string>>")))
+
+
+def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """host and the rules for it or a parent domain, the longest first; ``hosts``: distinct host."""
+    rules = rules.where("verdict is not null and host is not null and path is not null")
+    labels = F.split("host", r"\.", -1)
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    each = hosts.select("host", F.explode(parents).alias("domain"))
+    mine = rules.select(F.col("host").alias("domain"), "path", "verdict")
+    fitting = each.join(F.broadcast(mine) if rules.count() <= BROADCAST_RULES else mine, "domain")
+    rule = F.struct(F.negative(F.length("domain") + F.length("path")).alias("rank"), F.negative(F.length("domain")).alias("near"), (F.col("verdict") != "block").alias("last"), "path", "verdict", F.concat("domain", "path").alias("name"))
+    return fitting.groupBy("host").agg(F.sort_array(F.collect_list(rule)).alias("rules"))
+
+
+def placed_pages(pages: DataFrame, rules: DataFrame, scratch: Scratch) -> DataFrame:
+    """page_id, host, path, and the longest rule that fits as a struct of name and verdict, or null."""
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    counts = scratch.save(rows.groupBy("host").agg(F.count("*").alias("n")), "hosts")
+    known = counts.join(host_rules(counts.select("host"), rules), "host", "left")
+    joined = join_split(rows, scratch.save(known, "host-rules"), "host", F.col("n"), pages.count())
+    first = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r.path)), 0)
+    return joined.select("page_id", "host", "path", "n", F.struct(first["name"].alias("name"), first["verdict"].alias("verdict")).alias("rule"))
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
@@ -83,36 +115,34 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int
         if not state.reached and (state.change or 0.0) <= TOLERANCE:
             break
     else:
-        if rounds:
-            raise RuntimeError(f"ranks did not settle in {rounds} rounds")
+        raise RuntimeError(f"ranks did not settle in {rounds} rounds")
     return ranks.select("host", "rank")
 
 
-def host_verdicts(pages: DataFrame, rules: list[Rule], ratio: float = RATIO, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust, blocked for hosts that trust or distrust reaches."""
-    scratch = Scratch(pages.sparkSession, "url-trust")
-    judged = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    judged = judged.select("host", matching_rule(F.col("host"), F.col("path"), rules).verdict.alias("verdict")).where("verdict is not null and host <> ''")
-    counts = scratch.save(judged.groupBy("host").agg(F.count_if(F.col("verdict") == "allow").alias("allow"), F.count_if(F.col("verdict") == "block").alias("block")), "seeds")
+def host_verdicts(pages: DataFrame, placed: DataFrame, scratch: Scratch, ratio: float = RATIO, rounds: int = ROUNDS) -> DataFrame:
+    """host, trust, distrust, blocked for hosts that trust or distrust reaches. ``placed``: of ``placed_pages``."""
+    judged = placed.where("rule.verdict is not null and host <> ''")
+    counts = scratch.save(judged.groupBy("host").agg(F.count_if(F.col("rule.verdict") == "allow").alias("allow"), F.count_if(F.col("rule.verdict") == "block").alias("block")), "seeds")
     totals = counts.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
     edges = scratch.save(host_edges(pages), "edges")
-    linked = not edges.isEmpty()
     ranks = []
     for verdict, src, dst in (("allow", "src", "dst"), ("block", "dst", "src")):
         seeds = counts.where(F.col(verdict) > 0).select("host", (F.col(verdict) / F.lit(float(totals[verdict] or 1))).alias("seed"))
         turned = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "weight")
         out = turned.groupBy("src").agg(F.sum("weight").alias("total"))
-        shares = turned.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
-        ranks.append(propagate(scratch.save(shares, "shares") if linked else shares, seeds, scratch, rounds if linked else 0))
+        shares = scratch.save(turned.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
+        ranks.append(propagate(shares, seeds, scratch, rounds))
     both = ranks[0].select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust")).union(ranks[1].select("host", F.lit(0.0), "rank"))
     both = both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
     return scratch.save(both.withColumn("blocked", F.col("distrust") > ratio * F.col("trust")), "verdicts")
 
 
-def judge_pages(pages: DataFrame, rules: list[Rule], ratio: float = RATIO, rounds: int = ROUNDS) -> DataFrame:
+def judge_pages(pages: DataFrame, rules: Sequence[Rule] | DataFrame, ratio: float = RATIO, rounds: int = ROUNDS) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust."""
-    hosts = host_verdicts(pages, rules, ratio, rounds)
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = rows.withColumn("__rule", matching_rule(F.col("host"), F.col("path"), rules)).join(hosts, "host", "left")
+    scratch = Scratch(pages.sparkSession, "url-trust")
+    placed = scratch.save(placed_pages(pages, rules_table(pages.sparkSession, rules), scratch), "placed")
+    reached = host_verdicts(pages, placed, scratch, ratio, rounds)
+    hosts = placed.groupBy("host").agg(F.first("n").alias("n")).join(reached, "host", "left")
+    rows = join_split(placed.drop("n"), hosts, "host", F.col("n"), placed.count())
     method = F.when(F.coalesce("blocked", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.select("page_id", "host", "path", F.col("__rule.name").alias("rule"), F.coalesce("__rule.verdict", method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    return rows.select("page_id", "host", "path", F.col("rule.name").alias("rule"), F.coalesce("rule.verdict", method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
