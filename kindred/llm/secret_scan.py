@@ -213,7 +213,7 @@ def scan_secrets(docs: DataFrame, forest: Forest, least_score: float = LEAST_SCO
     found = found.withColumn("parts", F.when(F.exists("match", lambda v: v.rlike("[0-9]")), F.split("text", CANDIDATE, -1)).otherwise(F.array().cast("array<string>")))
     none = F.array().cast("array<struct<at:int,before:string,value:string,after:string>>")
     placed = F.aggregate(
-        F.arrays_zip(F.col("parts").alias("part"), F.col("match").alias("value"), F.slice("parts", 2, 2147483647).alias("following")),
+        F.arrays_zip(F.col("parts").alias("part"), F.col("match").alias("value"), F.slice("parts", F.lit(2), F.size("parts")).alias("following")),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out")),
         lambda s, x: F.struct(
             (s.at + F.length(x.part) + F.coalesce(F.length(x.value), F.lit(0))).alias("at"),
