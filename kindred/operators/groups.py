@@ -4,11 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Uses ``spark.checkpoint.dir``; where it is unset a temporary folder, but only on a local master."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="kindred-")
+    spark.sparkContext.setCheckpointDir(base)
+
+
 def connected_components(pairs: DataFrame) -> DataFrame:
     """file_id, group_id (smallest id) of all records in ``pairs`` (left_id, right_id).
 
@@ -16,9 +29,7 @@ def connected_components(pairs: DataFrame) -> DataFrame:
     that label, so long chains shrink fast. Rounds are cut by checkpoints in the
     folder of ``spark.checkpoint.dir``; only the number of changes is collected.
     """
-    spark = pairs.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kindred-"))
+    checkpoint_folder(pairs.sparkSession)
     both = pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
     edges = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).checkpoint()

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kindred.operators import groups
+
 # Fixed values ---------------------------------------------------------------------------
 TRACK_STATUSES = ("PROVISIONAL", "ACTIVE", "MERGED", "SUPERSEDED")
 GROUP_STATUSES = ("DETECTED", "AUTO_CONFIRMED", "REVIEW_REQUIRED", "CONFIRMED", "REJECTED", "DEFERRED")
@@ -13,6 +15,13 @@ CONFLICTING = "conflicting or contradictory pairwise evidence within this group
 PROBABLE = "at least one PROBABLE pair -- plausible but not confident enough for automatic consolidation"
 ALL_STRONG = "every pairwise classification in this group is EXACT or AUDIO_EQUIVALENT"
 NO_EVIDENCE = "no pairwise evidence available (fewer than two analyzed files)"
+CATALOG_FIELDS = (
+    "file_public_id", "relative_path", "is_present", "track_public_id", "track_status", "artist", "title", "version", "edition", "featured_artists",
+    "genre", "bpm", "key", "duration_ms", "codec", "bitrate", "sample_rate", "size_bytes", "quality_score",
+)
+GROUP_FIELDS = ("group_public_id", "status", "confidence", "matcher_version", "file_count", "member_paths", "proposed_preferred_path", "reasons")
+CALIBRATION_FIELDS = ("left_public_id", "left_relative_path", "right_public_id", "right_relative_path", "blocking_tier", "binary_hash_equal", "chromaprint_similarity", "duration_delta_ms", "version_compatibility")
+TIERS = {3: "STRONG", 2: "CANDIDATE", 1: "WEAK"}
 # ----------------------------------------------------------------------------------------
 
 
@@ -80,9 +89,9 @@ def group_reasons(evidence: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.select("group_id").join(evidence.groupBy("group_id").agg(reason.alias("reason")), "group_id", "left").select("group_id", F.coalesce("reason", F.lit(NO_EVIDENCE)).alias("reason"))
 
 
-def filter_groups(groups: DataFrame, status: str | None = None, least_confidence: float | None = None, file_format: str | None = None, decision: str | None = None, unresolved: bool = False) -> DataFrame:
-    """Groups of a review. groups: status, confidence, formats (array), decision (null: UNDECIDED)."""
-    out = groups
+def filter_groups(rows: DataFrame, status: str | None = None, least_confidence: float | None = None, file_format: str | None = None, decision: str | None = None, unresolved: bool = False) -> DataFrame:
+    """Groups of a review. rows: status, confidence, formats (array), decision (null: UNDECIDED)."""
+    out = rows
     if unresolved:
         out = out.where("status = 'REVIEW_REQUIRED' and decision is null")
     if status:
@@ -116,8 +125,21 @@ def journal_state(events: DataFrame, watermark: int) -> DataFrame:
 
 
 def numbered(pending: DataFrame, after: int) -> DataFrame:
-    """Gap-free sequence numbers behind ``after`` in the order of recorded_at, event_uuid; one batch of decisions."""
-    return pending.withColumn("sequence", F.row_number().over(Window.orderBy("recorded_at", "event_uuid")) + after)
+    """Gap-free sequence numbers behind ``after`` in the order of recorded_at, event_uuid.
+
+    Rows are dealt by ranges of that order, numbered within each range, and raised
+    by the sizes of the ranges before, which alone go to the driver.
+    """
+    parts = pending.withColumn("_order", F.struct("recorded_at", "event_uuid"))
+    groups.checkpoint_folder(pending.sparkSession)
+    dealt = parts.repartitionByRange("_order").withColumn("_part", F.spark_partition_id()).checkpoint()
+    offset, offsets = after, []
+    for r in dealt.groupBy("_part").count().orderBy("_part").collect():
+        offsets.append((r["_part"], offset))
+        offset += r["count"]
+    starts = F.create_map(*(F.lit(x) for pair in offsets for x in pair)) if offsets else F.create_map(F.lit(0), F.lit(after))
+    w = Window.partitionBy("_part").orderBy("_order")
+    return dealt.withColumn("sequence", F.row_number().over(w).cast("long") + F.element_at(starts, F.col("_part"))).drop("_order", "_part")
 
 
 def calibration(pairs: DataFrame) -> DataFrame:
@@ -144,3 +166,48 @@ def manifest_groups(groups: DataFrame, files: DataFrame, pairs: DataFrame) -> Da
     whole = groups.join(listed, "group_id", "left").join(compared, "group_id", "left").join(group_reasons(pairs, groups), "group_id")
     whole = whole.withColumns({"pairs": F.coalesce("pairs", F.array()), "files": F.coalesce("files", F.array()), "file_count": F.coalesce("file_count", F.lit(0)), "reasons": F.array("reason")}).drop("reason")
     return whole.select("group_id", F.to_json(F.struct(*(F.col(c) for c in sorted(whole.columns))), {"ignoreNullFields": "false"}).alias("entry"))
+
+
+def catalog_export(files: DataFrame, links: DataFrame, identity: DataFrame, featured: DataFrame, quality: DataFrame) -> DataFrame:
+    """The catalogue's 19 columns. files: those of ``catalog_rows`` with relative_path, is_present, raw tags and technical columns."""
+    rows = catalog_rows(files, links, identity, featured, quality)
+    names = {"file_public_id": "file_id", "track_public_id": "track_id", "genre": "genre_raw", "bpm": "bpm_raw", "key": "key_raw"}
+    return rows.select(*(F.col(names.get(c, c)).alias(c) for c in CATALOG_FIELDS))
+
+
+def groups_export(rows: DataFrame, members: DataFrame, files: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The 8 columns of a list of groups.
+
+    rows: group_id, status, confidence, matcher_version, proposed_preferred_file_id.
+    members: group_id, file_id. files: file_id, relative_path. pairs: group_id, classification.
+    """
+    listed = members.join(files.select("file_id", "relative_path"), "file_id").groupBy("group_id").agg(F.count("*").alias("file_count"), F.array_join(F.array_sort(F.collect_list("relative_path")), " | ").alias("member_paths"))
+    best = members.join(files.select("file_id", F.col("relative_path").alias("proposed_preferred_path")), "file_id").select("group_id", F.col("file_id").alias("proposed_preferred_file_id"), "proposed_preferred_path")
+    out = rows.join(listed, "group_id", "left").join(best, ["group_id", "proposed_preferred_file_id"], "left").join(group_reasons(pairs, rows), "group_id")
+    out = out.withColumns({"file_count": F.coalesce("file_count", F.lit(0)), "member_paths": F.coalesce("member_paths", F.lit(""))})
+    names = {"group_public_id": "group_id", "reasons": "reason"}
+    return out.select(*(F.col(names.get(c, c)).alias(c) for c in GROUP_FIELDS))
+
+
+def calibration_export(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """The 9 columns for a look at thresholds. pairs: left_id, right_id, tier, same_bytes, sound, duration_delta_ms, version_state."""
+    tier = F.lit(None).cast("string")
+    for k, v in TIERS.items():
+        tier = F.when(F.col("tier") == k, v).otherwise(tier)
+    side = lambda s: files.select(F.col("file_id").alias(f"{s}_id"), F.col("public_id").alias(f"{s}_public_id"), F.col("relative_path").alias(f"{s}_relative_path"))
+    out = calibration(pairs).join(side("left"), "left_id").join(side("right"), "right_id")
+    names = {"blocking_tier": tier, "binary_hash_equal": F.col("same_bytes"), "chromaprint_similarity": F.col("sound"), "version_compatibility": F.col("version_state")}
+    return out.select(*(names.get(c, F.col(c)).alias(c) for c in CALIBRATION_FIELDS))
+
+
+def pair_stats(pairs: DataFrame, classes: tuple[str, ...]) -> DataFrame:
+    """category, metric, value of the pairs by class."""
+    return counts_by(pairs, "pairs", "classification", classes)
+
+
+def controls(rows: DataFrame) -> DataFrame:
+    """One row, formats and statuses: what a review can be filtered by, in order."""
+    formats = rows.select(F.explode("formats").alias("x")).where("x is not null").distinct().withColumn("kind", F.lit("formats"))
+    statuses = rows.select(F.col("status").alias("x")).where("x is not null").distinct().withColumn("kind", F.lit("statuses"))
+    both = formats.unionByName(statuses).agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("x")))).alias(k) for k in ("formats", "statuses")))
+    return both

@@ -162,9 +162,15 @@ def override_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.override_history(journal_events(spark, sf_dir))
 
 
-@query("effective_identity", JOURNAL_SQL + ", a AS (SELECT * FROM o WHERE superseded_by IS NULL) SELECT track, " + ", ".join(f"CASE WHEN count(*) FILTER (WHERE field = '{f}') > 0 THEN max(value) FILTER (WHERE field = '{f}') ELSE 'base {f}' END AS {f}" for f in ("artist", "title", "version", "edition")) + " FROM a GROUP BY track")
+IDENTITY_SQL = JOURNAL_SQL + ", a AS (SELECT * FROM o WHERE superseded_by IS NULL), p AS (SELECT track, " + ", ".join(f"count(*) FILTER (WHERE field = '{f}') > 0 AS has_{f}, max(value) FILTER (WHERE field = '{f}') AS {f}" for f in journal.FIELDS) + " FROM a GROUP BY track), b AS (SELECT c_custkey AS track, c_name AS artist, c_mktsegment AS title, CASE WHEN c_custkey % 2 = 0 THEN 'v' || c_nationkey END AS version, NULL::VARCHAR AS edition FROM customer) "
+
+
+@query("effective_identity", IDENTITY_SQL + "SELECT b.track, " + ", ".join(f"CASE WHEN has_{f} THEN p.{f} ELSE b.{f} END AS {f}" for f in journal.FIELDS) + " FROM b LEFT JOIN p USING (track)")
 def effective_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return journal.effective_identity(journal_events(spark, sf_dir))
+    """Tracks from customer with the overrides from events laid over."""
+    key = F.col("c_custkey")
+    base = table(spark, sf_dir, "customer").select(key.alias("track"), F.col("c_name").alias("artist"), F.col("c_mktsegment").alias("title"), F.when(key % 2 == 0, F.concat(F.lit("v"), F.col("c_nationkey").cast("string"))).alias("version"), F.lit(None).cast("string").alias("edition"))
+    return journal.effective_identity(base, journal_events(spark, sf_dir))
 
 
 @query("journal_pending", JOURNAL_SQL + "SELECT seq, track FROM j WHERE seq > (SELECT max(seq) - 17 FROM j)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import subprocess
 from collections.abc import Callable, Iterator
 
@@ -107,3 +108,56 @@ def attenuation(reference_err: Column, high_band_err: Column) -> Column:
 
 def is_intact(exit_code: Column, err: Column) -> Column:
     return (exit_code == 0) & (F.trim(F.coalesce(err, F.lit(""))) == "")
+
+
+def fingerprint_command(path: str) -> list[str]:
+    return ["fpcalc", "-json", path]
+
+
+def read_fingerprint(out: Column) -> Column:
+    """struct(fingerprint, duration_ms, error) from the tool's JSON."""
+    parsed = F.from_json(out, "struct<fingerprint:string,duration:double>")
+    good = parsed["fingerprint"].isNotNull() & parsed["duration"].isNotNull()
+    return F.struct(F.when(good, parsed["fingerprint"]).alias("fingerprint"), F.when(good, F.round(parsed["duration"] * 1000).cast("long")).alias("duration_ms"), F.when(~F.coalesce(good, F.lit(False)), "no fingerprint").alias("error"))
+
+
+def decode_command(path: str) -> list[str]:
+    """Decodes all of a file; what it says tells whether the file is intact."""
+    return ["ffmpeg", "-v", "error", "-i", path, "-f", "null", "-"]
+
+
+def level_command(path: str, audio_filter: str = "astats") -> list[str]:
+    """Level statistics of a file, or of what a filter leaves of it."""
+    return ["ffmpeg", "-hide_banner", "-v", "info", "-i", path, "-af", audio_filter, "-f", "null", "-"]
+
+
+CHUNK = 1 << 20
+
+
+def file_digest(path: str) -> str | None:
+    """SHA-256 of a file, a chunk at a time; null if it cannot be read."""
+    digest = hashlib.sha256()
+    try:
+        with open(path, "rb") as f:
+            while part := f.read(CHUNK):
+                digest.update(part)
+    except OSError:
+        return None
+    return digest.hexdigest()
+
+
+def with_digests(files: DataFrame, root: str) -> DataFrame:
+    """``files`` (relative_path, binary_hash, binary_hash_status, ..) with current digests.
+
+    Only files whose digest is not current are read; a file that cannot be read
+    has none, and the status FAILED. ``root`` must be readable for executors.
+    """
+
+    @F.pandas_udf("string")
+    def digests(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: file_digest(f"{root}/{p}"), na_action="ignore")
+
+    current = F.coalesce((F.col("binary_hash_status") == "CURRENT") & F.col("binary_hash").isNotNull(), F.lit(False))
+    done, due = files.where(current), files.where(~current)
+    due = due.withColumn("binary_hash", digests("relative_path"))
+    return done.unionByName(due.withColumn("binary_hash_status", F.when(F.col("binary_hash").isNull(), "FAILED").otherwise("CURRENT")))
