@@ -65,6 +65,10 @@ class Scratch:
         out._kindred_path = path
         return out
 
+    def settle(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps, which it else keeps until the driver happens to collect its garbage."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
         for t in tables:
