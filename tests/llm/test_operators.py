@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,36 @@ def test_ngram_join_finds_all_links_by_each_way(spark, monkeypatch, settings):
         assert len(np.intersect1d(p[0][p[2] <= least], q[0][q[2] <= least])) >= least
 
 
+def test_ngram_blocks_give_joining_links_only():
+    """However many members are alike, a block gives fewer links than it has members; none within a component."""
+    s = np.arange(40, dtype=np.uint64).tobytes()
+    member = pa.struct([("node", pa.int64()), ("label", pa.int64()), ("blob", pa.binary())])
+
+    def links(labels):
+        block = pa.array([[{"node": i, "label": x, "blob": s} for i, x in enumerate(labels)]], pa.list_(member))
+        batch = pa.RecordBatch.from_arrays([block, block], names=["sets_a", "sets_b"])
+        none = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        (out,) = ngram_join._Blocks(ngram_join.Prefixes(85, *none))([batch])
+        return list(zip(*(c.to_pylist() for c in out.columns), strict=True))
+
+    found = links(range(50))
+    group = list(range(50))
+    for a, b in found:
+        group = [group[a] if g == group[b] else g for g in group]
+    assert len(found) == 49 and len(set(group)) == 1
+    assert links([7] * 50) == [] and len(links([7] * 25 + [8] * 25)) == 1
+
+
+def test_ngram_postings_in_slices():
+    """The slices have all postings between them, each once and all of a shingle in one; no slice has most of them."""
+    batch = pa.RecordBatch.from_arrays([pa.array([b" ".join(b"w%d" % (i * j) for j in range(200)) for i in range(1, 9)], pa.binary())], names=["text"])
+    none = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    rows = lambda *k: [r for out in ngram_join._Postings(ngram_join.Prefixes(85, *none), 256, 4, *k)([batch]) for r in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    every, parts = rows(), [rows(k, 3) for k in range(3)]
+    assert sorted(every) == sorted(sum(parts, [])) and max(map(len, parts)) < len(every) / 2
+    assert not {r[0] for r in parts[0]} & {r[0] for r in parts[1]}
+
+
 def test_keep_one_of_each_row(spark):
     t, u = "one two three four five six seven", "other words that are not like those"
     rows = [(5, t, 1), (5, t, 2), (7, t, 3), (None, t, 4), (5, u, 5), (None, u, 6), (None, "", 7), (None, None, 8), (9, "", 9), (9, "", 10)]
