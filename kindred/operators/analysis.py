@@ -29,7 +29,7 @@ def detect(records: DataFrame, known: DataFrame, members: DataFrame) -> tuple[Da
     matcher_version and what else a group has. A component whose files are just
     those of a known group is that group; others become new ones.
     """
-    found = groups.connected_components(candidates.best_tier(records.where("is_present")))
+    found = groups.connected_components(candidates.linking_pairs(records.where("is_present")))
     keys = set_key(found)
     old = set_key(members).groupBy("key").agg(F.min("group_id").alias("old"))
     named = keys.withColumnRenamed("group_id", "component").join(old, "key", "left").select("component", "old", F.coalesce("old", public_id("dup", F.col("key"))).alias("group_id"))
@@ -54,7 +54,7 @@ def analyze(known: DataFrame, members: DataFrame, evidence_of: Callable[[DataFra
     """
     open_ = known.where(F.col("status").isin(*commands.ANALYZABLE)).select("group_id")
     mine = members.join(open_, "group_id", "left_semi")
-    pairs = classify_pairs(evidence_of(groups.member_pairs(mine)))
+    pairs = classify_pairs(evidence_of(groups.member_pairs(mine.select("group_id", "file_id"))))
     status = groups.group_status(pairs).withColumnRenamed("status", "_status").withColumnRenamed("confidence", "_confidence")
     order = Q.preference(*(F.col(c) for c in ("intact", "suspicion", "score", "lossless", "clipped", "complete")))
     best = groups.preferred(mine.join(quality, "file_id"), order).withColumnRenamed("preferred_file_id", "_best")

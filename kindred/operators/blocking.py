@@ -1,10 +1,18 @@
-"""Candidate pairs by blocking keys and a duration band; always an equi-join, never all pairs."""
+"""Candidate pairs by blocking keys and a duration band; always an equi-join, never all pairs.
+
+Durations are cut into cells. A record meets the cells that its own band reaches,
+so a key of very many records is spread over many join keys, and bands of any
+width are complete.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Width of a cell of durations, in milliseconds.
+CELL = 5000
+
 
 def with_tolerance(records: DataFrame, short: int = 2000, medium: int = 3000, long: int = 5000) -> DataFrame:
     """Adds tol and wtol: the widest duration difference, and that of the weak tier."""
@@ -13,30 +21,46 @@ def with_tolerance(records: DataFrame, short: int = 2000, medium: int = 3000, lo
     return out.withColumn("wtol", F.greatest(F.lit(1000).cast("long"), F.floor(F.col("tol") / 2)))
 
 
-def _sides(records: DataFrame, *keys: str) -> DataFrame:
+def cells(records: DataFrame, keys: list[str], tol: str | None = None) -> DataFrame:
+    """``keys`` and the cell of each record's duration, or all cells within its ``tol``; the other columns begin with r_, or l_."""
+    d, side = F.col("duration_ms"), "l_" if tol else "r_"
     usable = records
     for k in keys:
         usable = usable.where(F.coalesce(F.col(k), F.lit("")) != "")
-    side = lambda p: usable.select(*keys, *(F.col(c).alias(p + c) for c in ("file_id", "artist", "duration_ms", "tol", "wtol") if c not in keys))
-    return side("l_").join(side("r_"), list(keys)).where("l_file_id < r_file_id")
+    others = [F.col(c).alias(side + c) for c in records.columns if c not in keys]
+    if not tol:
+        return usable.select(*keys, F.floor(d / CELL).alias("cell"), *others)
+    usable = usable.where(d.isNotNull() & (F.col(tol) >= 0))
+    return usable.select(*keys, F.explode(F.sequence(F.floor((d - F.col(tol)) / CELL), F.floor((d + F.col(tol)) / CELL))).alias("cell"), *others)
+
+
+def reached(left: DataFrame, right: DataFrame, keys: list[str], tol: str = "tol") -> DataFrame:
+    """Each row of ``left`` with the rows of ``right`` of the same keys whose duration is within its own ``tol``."""
+    delta = F.abs(F.col("l_duration_ms") - F.col("r_duration_ms"))
+    return cells(left, keys, tol).join(cells(right, keys), [*keys, "cell"]).where(delta <= F.col(f"l_{tol}"))
+
 
+def once(column: str = "file_id") -> Column:
+    """Of the two ways to find a pair, the one from the record of the wider band; of equal bands, from the lesser ``column``."""
+    l, r = F.col("l_tol"), F.col("r_tol")
+    return (F.col(f"l_{column}") != F.col(f"r_{column}")) & ((l > r) | ((l == r) & (F.col(f"l_{column}") < F.col(f"r_{column}"))))
 
-def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("l_file_id").alias("left_id"), F.col("r_file_id").alias("right_id"))
+
+def ids(pairs: DataFrame, *others: str) -> DataFrame:
+    return pairs.select(F.least("l_file_id", "r_file_id").alias("left_id"), F.greatest("l_file_id", "r_file_id").alias("right_id"), *others)
 
 
 def strong_pairs(records: DataFrame) -> DataFrame:
     """Same artist and title; a pair counts if it is in the band of either record."""
-    delta = F.abs(F.col("l_duration_ms") - F.col("r_duration_ms"))
-    return _ids(_sides(records, "artist", "title").where(delta <= F.greatest("l_tol", "r_tol")))
+    r = records.select("file_id", "artist", "title", "duration_ms", "tol")
+    return ids(reached(r, r, ["artist", "title"]).where(once()))
 
 
 def weak_pairs(records: DataFrame) -> DataFrame:
     """Same title and a missing artist on a side that allows it; the bands are those of the source."""
-    delta = F.abs(F.col("l_duration_ms") - F.col("r_duration_ms"))
-
-    def from_(s: str, c: str) -> Column:
-        open_ = F.coalesce(F.col(f"{s}_artist"), F.lit("")) == ""
-        return (open_ | F.col(f"{c}_artist").isNull()) & (delta <= F.col(f"{s}_wtol"))
-
-    return _ids(_sides(records, "title").where(from_("l", "r") | from_("r", "l")))
+    r = records.select("file_id", "artist", "title", "duration_ms", "wtol")
+    open_ = F.coalesce(F.col("artist"), F.lit("")) == ""
+    meet = reached(r.where(open_), r, ["title"], "wtol").unionByName(reached(r.where(~open_), r.where(F.col("artist").isNull()), ["title"], "wtol"))
+    back = (F.coalesce(F.col("r_artist"), F.lit("")) == "") | F.col("l_artist").isNull()
+    back = back & (F.abs(F.col("l_duration_ms") - F.col("r_duration_ms")) <= F.col("r_wtol"))
+    return ids(meet.where((F.col("l_file_id") < F.col("r_file_id")) | ((F.col("l_file_id") > F.col("r_file_id")) & ~back)))

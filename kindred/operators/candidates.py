@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kindred.functions import text
 from kindred.operators import blocking
@@ -11,39 +12,80 @@ from kindred.operators import blocking
 STRONG, CANDIDATE, WEAK = 3, 2, 1
 
 
-def _artist_pairs(records: DataFrame, width: int = 5000) -> DataFrame:
-    """Pairs of an artist in a duration band.
+def _names(pairs: DataFrame) -> DataFrame:
+    return pairs.where("l_title <> r_title").select(F.least("l_title", "r_title").alias("a"), F.greatest("l_title", "r_title").alias("b"))
 
-    Durations are cut into cells as wide as the widest band, and each record meets
-    only its own cell and the next ones, so an artist of very many records is
-    spread over many join keys.
+
+def _both_ways(names: DataFrame, *others: str) -> DataFrame:
+    """title, other: each of two names with the other one."""
+    ways = [F.struct(F.col(x).alias("title"), F.col(y).alias("other")) for x, y in (("a", "b"), ("b", "a"))]
+    return names.select(F.explode(F.array(*ways)).alias("t"), *others).select("t.*", *others)
+
+
+def _in_reach(records: DataFrame) -> DataFrame:
+    """a, b, repeated: all different titles that an artist has in cells within reach."""
+    left = blocking.cells(records, ["artist"], "tol").select("artist", "cell", "l_title").distinct()
+    return _names(left.join(blocking.cells(records, ["artist"]).select("artist", "cell", "r_title").distinct(), ["artist", "cell"]))
+
+
+def title_ratios(records: DataFrame) -> DataFrame:
+    """a, b, ratio of the different titles that an artist has within a band.
+
+    Records of one band in the same stretch as long as the band are in it for
+    sure, so there titles meet once a stretch. Records meet only where a pair of
+    titles in reach has no such stretch.
     """
-    r = records.where("artist <> '' and title <> ''").select("file_id", "artist", "title", "duration_ms", "tol", F.floor(F.col("duration_ms") / width).alias("cell"))
-    left = r.select("artist", "cell", *(F.col(c).alias("l_" + c) for c in ("file_id", "title", "duration_ms", "tol")))
-    right = r.select("artist", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"), *(F.col(c).alias("r_" + c) for c in ("file_id", "title", "duration_ms", "tol")))
-    near = F.abs(F.col("l_duration_ms") - F.col("r_duration_ms")) <= F.greatest("l_tol", "r_tol")
-    return left.join(right, ["artist", "cell"]).where("l_file_id < r_file_id").where(near)
+    r = records.select("artist", "title", "duration_ms", "tol").where("artist <> '' and title <> ''").distinct()
+    stretch = r.where("tol > 0").select("artist", "tol", F.floor(F.col("duration_ms") / F.col("tol")).alias("at"), "title").distinct()
+    sure = _names(stretch.withColumnRenamed("title", "l_title").join(stretch.withColumnRenamed("title", "r_title"), ["artist", "tol", "at"]).where("l_title < r_title")).distinct()
+    left = r.join(_both_ways(_in_reach(r).distinct().join(sure, ["a", "b"], "left_anti")), "title")
+    left = left.select("artist", F.col("other").alias("title"), "duration_ms", "tol", F.col("title").alias("own"))
+    met = blocking.reached(left, r, ["artist", "title"]).select(F.col("l_own").alias("l_title"), F.col("title").alias("r_title"))
+    return _rated(sure.unionByName(_names(met)))
 
 
-def title_ratios(pairs: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """a, b, ratio of the different title pairs; those that cannot reach the threshold are left out by length."""
+def _rated(names: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """The distinct a, b of ``names`` with their ratio, if it reaches the threshold; those too different in length are left out before."""
     a, b = F.col("a"), F.col("b")
-    names = pairs.where("l_title <> r_title").select(F.least("l_title", "r_title").alias("a"), F.greatest("l_title", "r_title").alias("b"))
     return names.where(text.highest_ratio(a, b) >= threshold).distinct().withColumn("ratio", text.indel_ratio(a, b)).where(F.col("ratio") >= threshold)
 
 
+def _alike(records: DataFrame, threshold: float) -> DataFrame:
+    """title, other, ratio: all titles that are alike and that an artist has in cells within reach, each two rated once."""
+    return _both_ways(_rated(_in_reach(records.where("title <> ''")), threshold), "ratio")
+
+
 def candidate_pairs(records: DataFrame, threshold: float = 85.0) -> DataFrame:
-    """Same artist, different titles that are alike; judged where the pair is made, without a shuffle of its own."""
-    l, r = F.col("l_title"), F.col("r_title")
-    pairs = _artist_pairs(records).where((l != r) & (text.highest_ratio(l, r) >= threshold))
-    return pairs.select(F.col("l_file_id").alias("left_id"), F.col("r_file_id").alias("right_id"), text.indel_ratio(l, r).alias("ratio")).where(F.col("ratio") >= threshold)
+    """Same artist, different titles that are alike. Titles are rated first, so only records of such titles meet."""
+    r = records.select("file_id", "artist", "title", "duration_ms", "tol")
+    left = r.join(_alike(r, threshold), "title").select("file_id", "artist", F.col("other").alias("title"), "duration_ms", "tol", "ratio")
+    pairs = blocking.reached(left, r, ["artist", "title"]).where(blocking.once())
+    return blocking.ids(pairs, "l_ratio").withColumnRenamed("l_ratio", "ratio")
 
 
-def best_tier(records: DataFrame) -> DataFrame:
-    """left_id, right_id and the highest tier that has the pair."""
+def _tiers(records: DataFrame) -> DataFrame:
     tiers = [(blocking.strong_pairs(records), STRONG), (candidate_pairs(records).drop("ratio"), CANDIDATE), (blocking.weak_pairs(records), WEAK)]
     out = None
     for pairs, rank in tiers:
         part = pairs.withColumn("tier", F.lit(rank))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("left_id", "right_id").agg(F.max("tier").alias("tier"))
+    return out
+
+
+def best_tier(records: DataFrame) -> DataFrame:
+    """left_id, right_id and the highest tier that has the pair; dealt out by left_id."""
+    return _tiers(records).repartition("left_id").groupBy("left_id", "right_id").agg(F.max("tier").alias("tier"))
+
+
+def linking_pairs(records: DataFrame) -> DataFrame:
+    """left_id, right_id: pairs of any tier that connect all that all pairs connect.
+
+    Records with one artist, title, duration and band are in pairs with one
+    another and with the same others. So the first of them meets the others of
+    its kind, and stands for them in the pairs with records of other kinds.
+    """
+    kind = ["artist", "title", "duration_ms", "tol", "wtol"]
+    usable = records.select("file_id", *kind).where("title <> '' and duration_ms is not null and tol >= 0 and wtol >= 0")
+    first = usable.groupBy(*kind).agg(F.min("file_id").alias("file_id"))
+    same = usable.withColumn("first", F.min("file_id").over(Window.partitionBy(*kind))).where("first < file_id")
+    return _tiers(first).select("left_id", "right_id").unionByName(same.select(F.col("first").alias("left_id"), F.col("file_id").alias("right_id")))

@@ -44,9 +44,10 @@ def connected_components(pairs: DataFrame) -> DataFrame:
 
 
 def member_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of a group: its status needs evidence of each of them."""
-    left, right = members.select("group_id", F.col("file_id").alias("left_id")), members.select("group_id", F.col("file_id").alias("right_id"))
-    return left.join(right, "group_id").where("left_id < right_id")
+    """All pairs of a group: its status needs evidence of each of them. Other columns of the members begin with l_ and r_."""
+    others = [c for c in members.columns if c not in ("group_id", "file_id")]
+    side = lambda p, key: members.select("group_id", F.col("file_id").alias(key), *(F.col(c).alias(p + c) for c in others))
+    return side("l_", "left_id").join(side("r_", "right_id"), "group_id").where("left_id < right_id")
 
 
 def group_status(evidence: DataFrame) -> DataFrame:

@@ -96,8 +96,7 @@ tiers AS (SELECT left_id, right_id, max(tier) AS tier FROM (SELECT left_id, righ
 
 @query("title_indel_ratio", TIER_SQL + "SELECT a, b, round(ratio, 6) AS ratio FROM ratios")
 def title_indel_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = candidates._artist_pairs(records(spark, sf_dir))
-    return candidates.title_ratios(pairs).select("a", "b", F.round("ratio", 6).alias("ratio"))
+    return candidates.title_ratios(records(spark, sf_dir)).select("a", "b", F.round("ratio", 6).alias("ratio"))
 
 
 @query("blocking_candidate_pairs", TIER_SQL + "SELECT left_id, right_id, round(ratio, 6) AS ratio FROM cand")
@@ -123,14 +122,20 @@ comps AS (SELECT file_id, min(seen) AS group_id FROM reach GROUP BY file_id)
 """
 
 
+COMPARED = ("artist", "title", "version", "duration_ms")
+
+
 def with_evidence(pairs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs with evidence; equal bytes and the similarity of sound stand for what adapters supply."""
-    columns = ("file_id", "artist", "title", "version", "duration_ms")
-    side = lambda p, key: records(spark, sf_dir).select(*(F.col(c).alias(key if c == "file_id" else p + c) for c in columns))
-    j = pairs.join(side("l_", "left_id"), "left_id").join(side("r_", "right_id"), "right_id")
+    """Pairs with evidence from their records."""
+    side = lambda p, key: records(spark, sf_dir).select(F.col("file_id").alias(key), *(F.col(c).alias(p + c) for c in COMPARED))
+    return evidence(pairs.join(side("l_", "left_id"), "left_id").join(side("r_", "right_id"), "right_id"), *pairs.columns)
+
+
+def evidence(pairs: DataFrame, *columns: str) -> DataFrame:
+    """Evidence of pairs with both records' columns; equal bytes and the similarity of sound stand for what adapters supply."""
     left, right = F.col("left_id"), F.col("right_id")
-    return j.select(
-        *pairs.columns,
+    return pairs.select(
+        *columns,
         X.similarity(F.col("l_artist"), F.col("r_artist")).alias("artist_similarity"),
         X.similarity(F.col("l_title"), F.col("r_title")).alias("title_similarity"),
         E.version_compatibility(F.col("l_version"), F.col("r_version")).alias("version_state"),
@@ -168,7 +173,7 @@ def pair_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.connected_components(candidates.best_tier(records(spark, sf_dir)))
+    return groups.connected_components(candidates.linking_pairs(records(spark, sf_dir)))
 
 
 @query("candidate_components", EVIDENCE_SQL + "SELECT file_id, group_id FROM comps")
@@ -188,8 +193,8 @@ SELECT group_id, CASE WHEN bool_or(NOT same_bytes AND (clash OR sound < 0.985::D
   round(min(CASE WHEN same_bytes THEN 1.0::DOUBLE WHEN sound < 0.93::DOUBLE THEN 1.0 - sound ELSE sound END), 6) AS confidence FROM every GROUP BY group_id""")
 def group_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence of a group is that of all pairs of its members, linked or not."""
-    pairs = groups.member_pairs(components(spark, sf_dir))
-    return groups.group_status(classified(with_evidence(pairs, spark, sf_dir))).withColumn("confidence", F.round("confidence", 6))
+    pairs = groups.member_pairs(components(spark, sf_dir).join(records(spark, sf_dir).select("file_id", *COMPARED), "file_id"))
+    return groups.group_status(classified(evidence(pairs, "group_id"))).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("fingerprint_similarity", """
