@@ -1,10 +1,12 @@
 """Replay of an ordered journal onto freshly scanned records.
 
 What a person decided is folded in order, since merges, splits and decisions
-change what later events mean. The journal has as many events as people and runs
-made decisions, so it is folded on the driver, up to ``MAX_EVENTS`` and an error
-beyond. Only records named by an event, with all others of their tracks, take
-part; the catalogue stays distributed and gets the outcome by a join.
+change what later events mean. An event changes only the tracks of the paths that
+it names, and a track that it splits off. Tracks that no chain of events connects
+do not touch each other, so each set of connected tracks is folded by itself, in
+one task: its events one after the other, with the state of that set in memory.
+Only records named by an event, with all others of their tracks, take part; the
+catalogue stays distributed and gets the outcome by a join.
 
 An event that names an unknown path, or paths of several tracks where one is
 meant, stops the replay: nothing is returned.
@@ -13,12 +15,15 @@ meant, stops the replay: nothing is returned.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-MAX_EVENTS = 1_000_000
+from kindred.operators import groups as G
+
 GROUP_EVENTS = {"DUPLICATE_GROUP_CONFIRMED", "DUPLICATE_GROUP_PREFERRED_CHANGED", "DUPLICATE_GROUP_REJECTED", "DUPLICATE_GROUP_DEFERRED"}
 OVERRIDE, MERGE, SPLIT, AUTO_PREFERRED = "TRACK_OVERRIDE_SET", "TRACK_MERGE", "TRACK_SPLIT", "TRACK_PREFERRED_FILE_AUTO_SET"
 
@@ -142,10 +147,10 @@ class State:
         return steps[kind](payload)
 
 
-def fold(owners: dict[str, str], events: list[Row]) -> State:
-    """Events need sequence, event_type and payload (JSON). A repeated sequence is one event; see the journal's append."""
+def fold(owners: dict[str, str], events: Iterable[Row | dict]) -> State:
+    """Events, in order, need sequence, event_type and payload (JSON). A repeated sequence is one event; see the journal's append."""
     state, last = State(owners), None
-    for e in sorted(events, key=lambda e: e["sequence"]):
+    for e in events:
         if e["sequence"] == last:
             continue
         last = e["sequence"]
@@ -159,12 +164,51 @@ def fold(owners: dict[str, str], events: list[Row]) -> State:
 PATH_FIELDS = ("track_relative_paths", "target_file_relative_paths", "source_file_relative_paths", "moved_file_relative_paths", "remaining_file_relative_paths", "member_file_relative_paths")
 
 
-def named_paths(events: DataFrame) -> DataFrame:
-    """Distinct relative_path of all records that events name."""
+def _paths():
+    """All paths that an event names."""
     lists = [F.coalesce(F.from_json(F.get_json_object("payload", f"$.{f}"), "array<string>"), F.array().cast("array<string>")) for f in PATH_FIELDS]
     one = F.array_compact(F.array(F.get_json_object("payload", "$.preferred_file_relative_path")))
     keys = F.coalesce(F.map_keys(F.from_json(F.get_json_object("payload", "$.file_relationships"), "map<string,string>")), F.array().cast("array<string>"))
-    return events.select(F.explode(F.concat(*lists, one, keys)).alias("relative_path")).where("relative_path is not null").distinct()
+    return F.array_distinct(F.array_compact(F.concat(*lists, one, keys)))
+
+
+#: Rows of a set of connected tracks, in the order in which they are folded: links, then events.
+FOLDED = "kind int, a string, b string, c string, d string, members array<string>"
+
+
+def _fold_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come by set; within it links (sequence null) and then events in order. Outcomes: kind 0 links, 1 tracks, 2 overrides, 3 groups."""
+
+    def rows() -> Iterator[tuple]:
+        for frame in frames:
+            yield from zip(*(frame[c].tolist() for c in ("part", "is_event", "sequence", "x", "y")), strict=True)
+
+    out: list[tuple] = []
+    names = ["kind", "a", "b", "c", "d", "members"]
+    stream = rows()
+    row = next(stream, None)
+    while row is not None:
+        part, owners = row[0], {}
+        while row is not None and row[0] == part and not row[1]:
+            owners[row[3]] = row[4]
+            row = next(stream, None)
+
+        def events() -> Iterator[dict]:
+            nonlocal row
+            while row is not None and row[0] == part:
+                yield {"sequence": int(row[2]), "event_type": row[3], "payload": row[4]}
+                row = next(stream, None)
+
+        state = fold(owners, events())
+        name = lambda t: state.tracks[t].name if t else None  # noqa: B023, E731
+        out += [(0, p, name(x.track), x.relationship, x.source, None) for p, x in state.links.items()]
+        out += [(1, i, t.name, t.status, name(t.merged_into), [t.preferred] if t.preferred is not None else None) for i, t in state.tracks.items()]
+        out += [(2, t.name, f, None if v is None else str(v), None, None) for t in state.tracks.values() for f, v in t.overrides.items()]
+        out += [(3, g, status, None, None, sorted(m)) for m, (g, status) in state.groups.items()]
+        if len(out) > 10_000:
+            yield pd.DataFrame(out, columns=names)
+            out = []
+    yield pd.DataFrame(out, columns=names)
 
 
 @dataclass
@@ -176,23 +220,51 @@ class Outcome:
     counts: DataFrame
 
 
-def replay(links: DataFrame, events: DataFrame, max_events: int = MAX_EVENTS) -> Outcome:
-    """``links``: relative_path, track_id of the scan. The whole catalogue after all events."""
-    spark = links.sparkSession
-    taken = events.select("sequence", "event_type", "payload").limit(max_events + 1).collect()
-    if len(taken) > max_events:
+def _sets(links: DataFrame, events: DataFrame) -> DataFrame:
+    """part, is_event, sequence, x, y: links (path, track) of the tracks that events name, and events (type, payload), by set of connected tracks.
+
+    Events that name no track that is known make a set of their own each.
+    """
+    named = events.select("sequence", F.explode(_paths()).alias("relative_path")).join(links, "relative_path").select("sequence", "track_id")
+    new = F.get_json_object("payload", "$.new_track_public_id")
+    split = events.where((F.col("event_type") == SPLIT) & new.isNotNull()).select("sequence", F.concat(F.lit("split:"), new).alias("track_id"))
+    touched = named.unionByName(split).distinct()
+    first = touched.groupBy("sequence").agg(F.min("track_id").alias("left_id"))
+    pairs = touched.join(first, "sequence").select("left_id", F.col("track_id").alias("right_id")).distinct()
+    parts = G.connected_components(pairs).select(F.col("file_id").alias("track_id"), F.col("group_id").alias("part"))
+    of = first.withColumnRenamed("left_id", "track_id").join(parts, "track_id").select("sequence", F.concat(F.lit("t"), "part").alias("part"))
+    steps = events.join(of, "sequence", "left").select(F.coalesce("part", F.concat(F.lit("e"), F.col("sequence").cast("string"))).alias("part"), F.lit(True).alias("is_event"), F.col("sequence").cast("long").alias("sequence"), F.col("event_type").alias("x"), F.col("payload").alias("y"))
+    own = links.join(parts, "track_id").select(F.concat(F.lit("t"), "part").alias("part"), F.lit(False).alias("is_event"), F.lit(-1).cast("long").alias("sequence"), F.col("relative_path").alias("x"), F.col("track_id").alias("y"))
+    return own.unionByName(steps)
+
+
+def _cause(error: Exception) -> ReplayError | None:
+    """The replay's own error in what Spark says of a failed task."""
+    at = [x for x in str(error).splitlines() if "ReplayError: " in x]
+    return ReplayError(at[0].split("ReplayError: ", 1)[1]) if at else None
+
+
+def replay(links: DataFrame, events: DataFrame, max_events: int | None = None) -> Outcome:
+    """``links``: relative_path, track_id of the scan. The whole catalogue after all events; any number of them unless ``max_events`` is given."""
+    events = events.select("sequence", "event_type", "payload")
+    if max_events is not None and events.limit(max_events + 1).count() > max_events:
         raise ReplayError(f"more than {max_events} events")
-    tracks = links.join(named_paths(events), "relative_path", "left_semi").select("track_id").distinct()
-    owners = {r["relative_path"]: r["track_id"] for r in links.join(tracks, "track_id", "left_semi").select("relative_path", "track_id").collect()}
-    state = fold(owners, taken)
-    name = lambda t: state.tracks[t].name if t else None
-    moved = spark.createDataFrame([(p, name(x.track), x.relationship, x.source) for p, x in state.links.items()], "relative_path string, new_track string, relationship string, decision_source string")
+    G.checkpoint_folder(links.sparkSession)
+    links = links.select("relative_path", "track_id")
+    ordered = _sets(links, events).repartition("part").sortWithinPartitions("part", "is_event", "sequence")
+    try:
+        out = ordered.mapInPandas(_fold_sets, FOLDED).checkpoint()
+    except Exception as error:
+        if (cause := _cause(error)) is None:
+            raise
+        raise cause from error
+    moved = out.where("kind = 0").select(F.col("a").alias("relative_path"), F.col("b").alias("new_track"), F.col("c").alias("relationship"), F.col("d").alias("decision_source"))
     all_links = links.join(moved, "relative_path", "left").select("relative_path", F.coalesce("new_track", "track_id").alias("track_id"), F.coalesce("relationship", F.lit("PRIMARY")).alias("relationship"), F.coalesce("decision_source", F.lit("AUTOMATIC")).alias("decision_source"))
-    changed = spark.createDataFrame([(i, t.name, t.status, name(t.merged_into), t.preferred) for i, t in state.tracks.items()], "scan_id string, track_id string, status string, merged_into string, preferred_path string")
+    changed = out.where("kind = 1").select(F.col("a").alias("scan_id"), F.col("b").alias("track_id"), F.col("c").alias("status"), F.col("d").alias("merged_into"), F.get("members", 0).alias("preferred_path"))
     rest = links.select("track_id").distinct().join(changed.select(F.col("scan_id").alias("track_id")), "track_id", "left_anti")
     nothing = F.lit(None).cast("string")
     all_tracks = changed.drop("scan_id").unionByName(rest.select("track_id", F.lit("PROVISIONAL").alias("status"), nothing.alias("merged_into"), nothing.alias("preferred_path")))
-    overrides = spark.createDataFrame([(t.name, f, v) for t in state.tracks.values() for f, v in t.overrides.items()], "track_id string, field string, value string")
-    groups = spark.createDataFrame([(g, s, sorted(m)) for m, (g, s) in state.groups.items()], "group_id string, status string, members array<string>")
+    overrides = out.where("kind = 2").select(F.col("a").alias("track_id"), F.col("b").alias("field"), F.col("c").alias("value"))
+    groups = out.where("kind = 3").select(F.col("a").alias("group_id"), F.col("b").alias("status"), "members")
     counts = events.dropDuplicates(["sequence"]).groupBy("event_type").agg(F.count("*").alias("n"))
     return Outcome(all_links, all_tracks, overrides, groups, counts)

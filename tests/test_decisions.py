@@ -131,3 +131,12 @@ def test_tools(spark):
 def test_numbered(spark):
     d = spark.createDataFrame([("b", 1), ("a", 1), ("c", 0)], "event_uuid string, recorded_at int")
     assert [(r["event_uuid"], r["sequence"]) for r in reports.numbered(d, 7).orderBy("sequence").collect()] == [("c", 8), ("a", 9), ("b", 10)]
+
+
+def test_replay_folds_connected_tracks_by_themselves(spark):
+    """Each track has its own events; tracks that a split's name connects are one set."""
+    owners = spark.createDataFrame([(f"p{i}", f"t{i}") for i in range(40)], "relative_path string, track_id string")
+    split = [(replay.SPLIT, {"moved_file_relative_paths": [f"p{i}"], "remaining_file_relative_paths": [], "new_track_public_id": "n", "source_track_public_id": f"t{i}"}) for i in (0, 1)]
+    named = [(replay.OVERRIDE, {"track_relative_paths": [f"p{i % 38 + 2}"], "track_public_id": f"t{i % 38 + 2}", "field": "title", "value": str(i)}) for i in range(90)]
+    parts = replay._sets(owners, journal(spark, *split, *named)).groupBy("part").count().collect()
+    assert sorted(r["count"] for r in parts)[-1] == 4 and len(parts) == 39
