@@ -50,9 +50,26 @@ def _rated(names: DataFrame, threshold: float = 0.0) -> DataFrame:
     return names.where(text.highest_ratio(a, b) >= threshold).distinct().withColumn("ratio", text.indel_ratio(a, b)).where(F.col("ratio") >= threshold)
 
 
+def _of_an_artist(records: DataFrame) -> DataFrame:
+    """a, b, repeated: all different titles that an artist has, whatever their durations."""
+    titles = records.where("artist <> ''").select("artist", "title").distinct()
+    return _names(titles.withColumnRenamed("title", "l_title").join(titles.withColumnRenamed("title", "r_title"), "artist").where("l_title < r_title"))
+
+
+def _squares(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0.0)).alias("n"))
+
+
 def _alike(records: DataFrame, threshold: float) -> DataFrame:
-    """title, other, ratio: all titles that are alike and that an artist has in cells within reach, each two rated once."""
-    return _both_ways(_rated(_in_reach(records.where("title <> ''")), threshold), "ratio")
+    """title, other, ratio: all titles that are alike and that an artist has in cells within reach, each two rated once.
+
+    Where artists have the same titles in many cells, their titles meet once an
+    artist instead, which finds these and perhaps more.
+    """
+    r = records.where("title <> ''")
+    in_cells = blocking.cells(r, ["artist"]).select("artist", "cell", "r_title").distinct()
+    of_artists, of_cells = (x.n for x in _squares(in_cells.select("artist", "r_title").distinct(), "artist").unionAll(_squares(in_cells, "artist", "cell")).collect())
+    return _both_ways(_rated(_of_an_artist(r) if of_artists <= of_cells else _in_reach(r), threshold), "ratio")
 
 
 def candidate_pairs(records: DataFrame, threshold: float = 85.0) -> DataFrame:
