@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Width of a cell of durations, in milliseconds.
 CELL = 5000
@@ -64,3 +65,63 @@ def weak_pairs(records: DataFrame) -> DataFrame:
     back = (F.coalesce(F.col("r_artist"), F.lit("")) == "") | F.col("l_artist").isNull()
     back = back & (F.abs(F.col("l_duration_ms") - F.col("r_duration_ms")) <= F.col("r_wtol"))
     return ids(meet.where((F.col("l_file_id") < F.col("r_file_id")) | ((F.col("l_file_id") > F.col("r_file_id")) & ~back)))
+
+
+# Links: few pairs that connect all that the pairs of a tier connect ----------------------------
+
+
+def _ways(keys: list[str]) -> list[tuple[Column, Window]]:
+    """Durations and the order by them, upwards and downwards."""
+    d, w = F.col("duration_ms"), Window.partitionBy(*keys)
+    return [(d, w.orderBy(d, "file_id")), (-d, w.orderBy(d.desc(), F.col("file_id").desc()))]
+
+
+def _linked(rows: DataFrame, other: str) -> DataFrame:
+    return rows.where(F.col("file_id") != F.col(other)).select(F.least("file_id", other).alias("left_id"), F.greatest("file_id", other).alias("right_id"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def covering(records: DataFrame, keys: list[str], tol: str = "tol", covers: Column | None = None) -> DataFrame:
+    """Each record with the one before it, and the one after it, whose band reaches furthest, if it reaches the record.
+
+    ``covers`` are the records that pair with all others of their keys within
+    their own band. What lies between such a record and one it reaches is in its
+    band too, so two that reach the same record are connected already.
+    """
+    out = []
+    for at, w in _ways(keys):
+        reach = F.struct((at + F.col(tol)).alias("reach"), F.col("file_id").alias("by"))
+        best = F.max(reach if covers is None else F.when(covers, reach)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        out.append(_linked(records.withColumn("best", best).where(F.col("best.reach") >= at).withColumn("by", F.col("best.by")), "by"))
+    return _union(out)
+
+
+def strong_links(records: DataFrame) -> DataFrame:
+    return covering(records.where("artist <> '' and title <> ''"), ["artist", "title"])
+
+
+def weak_links(records: DataFrame) -> DataFrame:
+    """Records without an artist pair with all in their band; those with one only with null artists in theirs.
+
+    So of the latter each meets the next null artist on both sides, and each
+    null artist the one that reaches furthest of those that reach over the null
+    artist before it.
+    """
+    r = records.where("title <> ''")
+    named = F.coalesce(F.col("artist"), F.lit("")) != ""
+    out = [covering(r, ["title"], "wtol", ~named)]
+    for at, w in _ways(["title"]):
+        reach = F.when(named, F.struct((at + F.col("wtol")).alias("reach"), F.col("file_id").alias("by")))
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        near = F.last(F.when(F.col("artist").isNull(), F.struct(at.alias("at"), F.col("file_id").alias("by"))), ignorenulls=True).over(before)
+        seen = r.withColumns({"near": near, "best": F.max(reach).over(before)})
+        out.append(_linked(seen.where(named & (at - F.col("near.at") <= F.col("wtol"))).withColumn("by", F.col("near.by")), "by"))
+        over = seen.where("artist is null").withColumn("best", F.lag("best").over(w))
+        out.append(_linked(over.where(F.col("best.reach") >= at).withColumn("by", F.col("best.by")), "by"))
+    return _union(out)

@@ -94,15 +94,21 @@ def best_tier(records: DataFrame) -> DataFrame:
     return _tiers(records).repartition("left_id").groupBy("left_id", "right_id").agg(F.max("tier").alias("tier"))
 
 
-def linking_pairs(records: DataFrame) -> DataFrame:
-    """left_id, right_id: pairs of any tier that connect all that all pairs connect.
+def linking_pairs(records: DataFrame, threshold: float = 85.0) -> DataFrame:
+    """left_id, right_id: pairs of any tier that connect all that all pairs connect; some come twice.
 
     Records with one artist, title, duration and band are in pairs with one
     another and with the same others. So the first of them meets the others of
-    its kind, and stands for them in the pairs with records of other kinds.
+    its kind, and stands for them in the links with records of other kinds: a
+    few a record, as an artist's records of one title, or of two that are alike,
+    are in pairs with all in their band.
     """
     kind = ["artist", "title", "duration_ms", "tol", "wtol"]
     usable = records.select("file_id", *kind).where("title <> '' and duration_ms is not null and tol >= 0 and wtol >= 0")
     first = usable.groupBy(*kind).agg(F.min("file_id").alias("file_id"))
     same = usable.withColumn("first", F.min("file_id").over(Window.partitionBy(*kind))).where("first < file_id")
-    return _tiers(first).select("left_id", "right_id").unionByName(same.select(F.col("first").alias("left_id"), F.col("file_id").alias("right_id")))
+    named = first.where("artist <> ''")
+    pair = [F.least("title", "other").alias("a"), F.greatest("title", "other").alias("b")]
+    alike = named.join(_alike(usable, threshold), "title").select("file_id", "artist", *pair, "duration_ms", "tol")
+    links = blocking.strong_links(first).unionByName(blocking.weak_links(first)).unionByName(blocking.covering(alike, ["artist", "a", "b"]))
+    return links.unionByName(same.select(F.col("first").alias("left_id"), F.col("file_id").alias("right_id")))

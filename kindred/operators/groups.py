@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,25 +23,47 @@ def checkpoint_folder(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(base)
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the checkpoint folder, deleted when the driver ends. Its size is known, whereas that of a checkpoint is a guess that grows with each join."""
+    spark = df.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def connected_components(pairs: DataFrame) -> DataFrame:
     """file_id, group_id (smallest id) of all records in ``pairs`` (left_id, right_id).
 
-    Each round takes the smallest label of the neighbours and then the label of
-    that label, so long chains shrink fast. Rounds are cut by checkpoints in the
-    folder of ``spark.checkpoint.dir``; only the number of changes is collected.
+    Each round points a record at the smallest of itself and its neighbours, then
+    at where that one points, twice as far in each step, until all point at one
+    that points at itself. Records that point at the same one become one, so the
+    pairs left for the next round are those between different ones, of which
+    there are half as many at most. Rounds are cut by tables in the folder of
+    ``spark.checkpoint.dir``.
     """
     checkpoint_folder(pairs.sparkSession)
-    both = pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
-    edges = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).checkpoint()
-    while True:
-        near = edges.join(labels.select(F.col("a").alias("b"), F.col("label").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
-        low = labels.join(near, "a").select("a", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("a").alias("low"), F.col("label").alias("jump"))
-        now = low.join(jump, "low").select("a", F.col("label").alias("old"), F.least("low", "jump").alias("label")).checkpoint()
-        labels = now.drop("old")
-        if now.where("label <> old").isEmpty():
-            return labels.select(F.col("a").alias("file_id"), F.col("label").alias("group_id"))
+
+    def tidy(a: str, b: str, rows: DataFrame) -> DataFrame:
+        return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+    edges = _written(tidy("left_id", "right_id", pairs.where("left_id is not null and right_id is not null")))
+    rounds: list[DataFrame] = []
+    while not rounds or not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up, moved = _written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("up"))), True
+        while moved:
+            beyond = up.select(F.col("a").alias("up"), F.col("up").alias("next"))
+            now = _written(up.join(beyond, "up").select("a", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")))
+            up, moved = now.select("a", "up"), not now.where("moved").isEmpty()
+        rounds.append(up)
+        left, right = up.select("a", F.col("up").alias("left")), up.select(F.col("a").alias("b"), F.col("up").alias("right"))
+        edges = _written(tidy("left", "right", edges.join(left, "a").join(right, "b").where("left <> right")))
+    labels = rounds.pop()
+    for up in reversed(rounds):
+        labels = up.join(labels.select(F.col("a").alias("up"), F.col("up").alias("label")), "up", "left").select("a", F.coalesce("label", "up").alias("up"))
+    return labels.select(F.col("a").alias("file_id"), F.col("up").alias("group_id"))
 
 
 def member_pairs(members: DataFrame) -> DataFrame:

@@ -1,10 +1,31 @@
 """Links, and titles that meet, on records of uneven bands."""
 
-from kindred.operators import candidates
+import random
+
+from kindred.operators import candidates, groups
 
 COLUMNS = "file_id long, artist string, title string, duration_ms long, tol long, wtol long"
 
 
+def test_links_connect_what_pairs_connect(spark):
+    """Bands of any width at any duration: a wide one may reach past narrow ones."""
+    rng = random.Random(7)
+    rows = [(i, rng.choice([None, None, "", "a", "a", "b", "c"]), rng.choice(["old ring", "cold ring", "tin cup"]), rng.randrange(0, 60_000), rng.choice([0, 100, 400, 6000]), rng.choice([0, 100, 300, 3000])) for i in range(260)]
+    df = spark.createDataFrame(rows, COLUMNS).cache()
+    every, links = candidates.best_tier(df).select("left_id", "right_id").cache(), candidates.linking_pairs(df).cache()
+    assert links.exceptAll(links.distinct().intersect(every)).join(every, ["left_id", "right_id"], "left_anti").isEmpty()
+    found = sorted(map(tuple, groups.connected_components(links).collect()))
+    assert found == sorted(map(tuple, groups.connected_components(every).collect())) and len({g for _, g in found}) > 3
+
+
+def test_links_are_few(spark):
+    """Records of one title, each in the band of hundreds of others, have a few links each."""
+    rows = [(i, (None, "a", "b")[i % 3], "old ring", i, 9000, 9000) for i in range(600)]
+    links = candidates.linking_pairs(spark.createDataFrame(rows, COLUMNS))
+    assert links.count() <= 8 * 600
+    assert {r.group_id for r in groups.connected_components(links).collect()} == {0}
+
+
 def test_titles_of_an_artist_meet_once(spark, monkeypatch):
     """Where an artist has its titles again and again, cells are not joined; the pairs are the same."""
     rows = [(i, "a", ("old ring", "cold ring", "tin cup")[i % 3], i // 3 * 20_000, 2000, 1000) for i in range(60)]
