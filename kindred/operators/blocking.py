@@ -47,24 +47,31 @@ def once(column: str = "file_id") -> Column:
     return (F.col(f"l_{column}") != F.col(f"r_{column}")) & ((l > r) | ((l == r) & (F.col(f"l_{column}") < F.col(f"r_{column}"))))
 
 
-def ids(pairs: DataFrame, *others: str) -> DataFrame:
-    return pairs.select(F.least("l_file_id", "r_file_id").alias("left_id"), F.greatest("l_file_id", "r_file_id").alias("right_id"), *others)
+def ids(pairs: DataFrame, *others: str, sides: tuple[str, ...] = ()) -> DataFrame:
+    """left_id, right_id (the greater), ``others``, and l_ and r_ columns of ``sides``: those of left_id and of right_id."""
+    first = F.col("l_file_id") < F.col("r_file_id")
+    both = [F.when(first, F.col(x + c)).otherwise(F.col(y + c)).alias(x + c) for c in sides for x, y in (("l_", "r_"), ("r_", "l_"))]
+    return pairs.select(F.least("l_file_id", "r_file_id").alias("left_id"), F.greatest("l_file_id", "r_file_id").alias("right_id"), *others, *both)
 
 
-def strong_pairs(records: DataFrame) -> DataFrame:
+def _with(columns: list[str], sides: tuple[str, ...]) -> list[str]:
+    return columns + [c for c in sides if c not in columns]
+
+
+def strong_pairs(records: DataFrame, sides: tuple[str, ...] = ()) -> DataFrame:
     """Same artist and title; a pair counts if it is in the band of either record."""
-    r = records.select("file_id", "artist", "title", "duration_ms", "tol")
-    return ids(reached(r, r, ["artist", "title"]).where(once()))
+    r = records.select(*_with(["file_id", "artist", "title", "duration_ms", "tol"], sides))
+    return ids(reached(r, r, ["artist", "title"]).where(once()), sides=sides)
 
 
-def weak_pairs(records: DataFrame) -> DataFrame:
+def weak_pairs(records: DataFrame, sides: tuple[str, ...] = ()) -> DataFrame:
     """Same title and a missing artist on a side that allows it; the bands are those of the source."""
-    r = records.select("file_id", "artist", "title", "duration_ms", "wtol")
+    r = records.select(*_with(["file_id", "artist", "title", "duration_ms", "wtol"], sides))
     open_ = F.coalesce(F.col("artist"), F.lit("")) == ""
     meet = reached(r.where(open_), r, ["title"], "wtol").unionByName(reached(r.where(~open_), r.where(F.col("artist").isNull()), ["title"], "wtol"))
     back = (F.coalesce(F.col("r_artist"), F.lit("")) == "") | F.col("l_artist").isNull()
     back = back & (F.abs(F.col("l_duration_ms") - F.col("r_duration_ms")) <= F.col("r_wtol"))
-    return ids(meet.where((F.col("l_file_id") < F.col("r_file_id")) | ((F.col("l_file_id") > F.col("r_file_id")) & ~back)))
+    return ids(meet.where((F.col("l_file_id") < F.col("r_file_id")) | ((F.col("l_file_id") > F.col("r_file_id")) & ~back)), sides=sides)
 
 
 # Links: few pairs that connect all that the pairs of a tier connect ----------------------------

@@ -72,12 +72,13 @@ def _alike(records: DataFrame, threshold: float) -> DataFrame:
     return _both_ways(_rated(_of_an_artist(r) if of_artists <= of_cells else _in_reach(r), threshold), "ratio")
 
 
-def candidate_pairs(records: DataFrame, threshold: float = 85.0) -> DataFrame:
+def candidate_pairs(records: DataFrame, threshold: float = 85.0, sides: tuple[str, ...] = ()) -> DataFrame:
     """Same artist, different titles that are alike. Titles are rated first, so only records of such titles meet."""
-    r = records.select("file_id", "artist", "title", "duration_ms", "tol")
-    left = r.join(_alike(r, threshold), "title").select("file_id", "artist", F.col("other").alias("title"), "duration_ms", "tol", "ratio")
+    more = [c for c in sides if c != "duration_ms"]
+    r = records.select("file_id", "artist", "title", "duration_ms", "tol", *more)
+    left = r.join(_alike(r, threshold), "title").select("file_id", "artist", F.col("other").alias("title"), "duration_ms", "tol", "ratio", *more)
     pairs = blocking.reached(left, r, ["artist", "title"]).where(blocking.once())
-    return blocking.ids(pairs, "l_ratio").withColumnRenamed("l_ratio", "ratio")
+    return blocking.ids(pairs, "l_ratio", sides=sides).withColumnRenamed("l_ratio", "ratio")
 
 
 def _tiers(records: DataFrame) -> DataFrame:
@@ -94,6 +95,24 @@ def best_tier(records: DataFrame) -> DataFrame:
     return _tiers(records).repartition("left_id").groupBy("left_id", "right_id").agg(F.max("tier").alias("tier"))
 
 
+def repeated_ids(records: DataFrame) -> bool:
+    return not records.groupBy("file_id").count().where("count > 1").isEmpty()
+
+
+def compared(records: DataFrame, sides: tuple[str, ...] = ()) -> DataFrame:
+    """left_id, right_id, tier, artist_similarity, title_similarity, and l_ and r_ columns of ``sides``. No id may be repeated.
+
+    Then a pair is in one tier only: strong and candidate pairs have one artist
+    and differ in whether their titles do, weak pairs lack an artist. The tier
+    tells both similarities, so nothing is gathered by pair and no name is rated again.
+    """
+    one, same = F.lit(1.0), F.coalesce("l_artist", F.lit("")) == F.coalesce("r_artist", F.lit(""))
+    strong = blocking.strong_pairs(records, sides).withColumns({"tier": F.lit(STRONG), "artist_similarity": one, "title_similarity": one})
+    like = candidate_pairs(records, sides=sides).withColumns({"tier": F.lit(CANDIDATE), "artist_similarity": one, "title_similarity": F.col("ratio") / 100}).drop("ratio")
+    weak = blocking.weak_pairs(records, ("artist", *sides)).withColumns({"tier": F.lit(WEAK), "artist_similarity": F.when(same, one).otherwise(0.0), "title_similarity": one})
+    return strong.unionByName(like).unionByName(weak.drop("l_artist", "r_artist"))
+
+
 def linking_pairs(records: DataFrame, threshold: float = 85.0) -> DataFrame:
     """left_id, right_id: pairs of any tier that connect all that all pairs connect; some come twice.
 

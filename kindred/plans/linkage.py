@@ -131,13 +131,22 @@ def with_evidence(pairs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFra
     return evidence(pairs.join(side("l_", "left_id"), "left_id").join(side("r_", "right_id"), "right_id"), *pairs.columns)
 
 
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of the tiers with evidence. Where ids are repeated, pairs are gathered first and then meet their records."""
+    r = records(spark, sf_dir)
+    if candidates.repeated_ids(r):
+        return with_evidence(candidates.best_tier(r), spark, sf_dir)
+    return evidence(candidates.compared(r, ("version", "duration_ms")), "left_id", "right_id")
+
+
 def evidence(pairs: DataFrame, *columns: str) -> DataFrame:
     """Evidence of pairs with both records' columns; equal bytes and the similarity of sound stand for what adapters supply."""
     left, right = F.col("left_id"), F.col("right_id")
+    known = "title_similarity" in pairs.columns
     return pairs.select(
         *columns,
-        X.similarity(F.col("l_artist"), F.col("r_artist")).alias("artist_similarity"),
-        X.similarity(F.col("l_title"), F.col("r_title")).alias("title_similarity"),
+        (F.col("artist_similarity") if known else X.similarity(F.col("l_artist"), F.col("r_artist"))).alias("artist_similarity"),
+        (F.col("title_similarity") if known else X.similarity(F.col("l_title"), F.col("r_title"))).alias("title_similarity"),
         E.version_compatibility(F.col("l_version"), F.col("r_version")).alias("version_state"),
         F.abs(F.col("l_duration_ms") - F.col("r_duration_ms")).alias("duration_delta_ms"),
         ((F.col("l_duration_ms") == F.col("r_duration_ms")) & (left % 3 == right % 3)).alias("same_bytes"),
@@ -152,20 +161,20 @@ def classified(pairs: DataFrame) -> DataFrame:
 
 @query("pair_evidence", EVIDENCE_SQL + "SELECT left_id, right_id, version_state, duration_delta_ms, round((0.5::DOUBLE * artist_similarity + 0.4::DOUBLE * title_similarity) / 0.9::DOUBLE, 6) AS similarity FROM e")
 def pair_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = with_evidence(candidates.best_tier(records(spark, sf_dir)), spark, sf_dir)
+    e = compared(spark, sf_dir)
     s = E.composite_similarity(F.col("artist_similarity"), F.col("title_similarity"), F.lit(None).cast("double"))
     return e.select("left_id", "right_id", "version_state", "duration_delta_ms", F.round(s, 6).alias("similarity"))
 
 
 @query("pair_classification", EVIDENCE_SQL + "SELECT left_id, right_id, classification, round(confidence, 6) AS confidence FROM d")
 def pair_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = classified(with_evidence(candidates.best_tier(records(spark, sf_dir)), spark, sf_dir))
+    e = classified(compared(spark, sf_dir))
     return e.select("left_id", "right_id", "classification", F.round("confidence", 6).alias("confidence"))
 
 
 @query("pair_class_counts", EVIDENCE_SQL + "SELECT value, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(['EXACT', 'AUDIO_EQUIVALENT', 'PROBABLE', 'DIFFERENT', 'CONFLICT']) AS value) LEFT JOIN (SELECT classification AS value, count(*) AS n FROM d GROUP BY 1) USING (value)")
 def pair_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = classified(with_evidence(candidates.best_tier(records(spark, sf_dir)), spark, sf_dir))
+    e = classified(compared(spark, sf_dir))
     return groups.zero_filled(e, "classification", E.CLASSES)
 
 

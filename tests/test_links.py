@@ -33,3 +33,18 @@ def test_titles_of_an_artist_meet_once(spark, monkeypatch):
     expected = sorted((i, i + 1) for i in range(0, 60, 3))
     monkeypatch.setattr(candidates, "_in_reach", None)
     assert sorted((r.left_id, r.right_id) for r in candidates.candidate_pairs(df).collect()) == expected
+
+
+def test_compared_pairs_are_those_of_the_tiers(spark):
+    """Each pair once, with what its records and names say; no id is repeated."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, "", "a", "a", "b"]), rng.choice(["old ring", "cold ring", "tin cup"]), rng.randrange(0, 9000), 2000, 1000) for i in range(80)]
+    df = spark.createDataFrame(rows, COLUMNS).cache()
+    assert not candidates.repeated_ids(df) and candidates.repeated_ids(df.union(df.limit(1)))
+    of, tiers = {r[0]: r for r in rows}, {(r.left_id, r.right_id): r.tier for r in candidates.best_tier(df).collect()}
+    got = candidates.compared(df, ("duration_ms",)).collect()
+    assert len(got) == len(tiers) and {(r.left_id, r.right_id): r.tier for r in got} == tiers and set(tiers.values()) == {1, 2, 3}
+    for r in got:
+        x, y = of[r.left_id], of[r.right_id]
+        assert (r.l_duration_ms, r.r_duration_ms) == (x[3], y[3]) and r.artist_similarity == float((x[1] or "") == (y[1] or ""))
+        assert r.title_similarity == 1 if x[2] == y[2] else abs(r.title_similarity - 16 / 17) < 1e-9
